@@ -6,7 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamella.llm.common import importable
+from lamella.llm.bpe import encode
+from lamella.llm.hilbert import shards
+from lamella.llm.lengths import histogram
+from lamella.llm.packing import pack
 from lamella.llm.quality import quality
+from lamella.llm.secret_scan import digest, scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,10 +19,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return histogram(table(spark, sf_dir, "documents"))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents")).drop("ids")
+
+
+def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards(table(spark, sf_dir, "documents"), 40)
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), decoded=True)
+    return coded.select(
+        "doc_id",
+        F.expr("cast(size(ids) AS bigint)").alias("n_tokens"),
+        F.expr("sha2(array_join(cast(ids AS array<string>), ' '), 256)").alias("ids_sha256"),
+        F.expr("sha2(decoded, 256)").alias("decoded_sha256"),
+    )
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {"op9_quality": op9_quality}
+QUERIES = {
+    "op2_token_counts": op2_token_counts,
+    "op3_packing": op3_packing,
+    "op4_hilbert_shards": op4_hilbert_shards,
+    "op5_byte_bpe": op5_byte_bpe,
+    "op6_secrets": op6_secrets,
+    "op9_quality": op9_quality,
+}
 ORACLES: dict[str, str] = {}
