@@ -9,6 +9,7 @@ from lamella.llm.common import importable
 from lamella.llm.bpe import encode
 from lamella.llm.hilbert import shards
 from lamella.llm.lengths import histogram
+from lamella.llm.line_dedup import line_dedup
 from lamella.llm.packing import pack
 from lamella.llm.quality import quality
 from lamella.llm.secret_scan import digest, scan
@@ -50,6 +51,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", F.expr("size(removed)").alias("n_removed"), F.expr("array_join(cast(removed AS array<string>), ',')").alias("removed"), F.expr("crc32(clean_text)").alias("clean_crc32"), F.expr("cast(length(clean_text) AS bigint)").alias("clean_chars"))
+
+
 QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_packing": op3_packing,
@@ -57,5 +63,6 @@ QUERIES = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_secrets": op6_secrets,
     "op9_quality": op9_quality,
+    "op10_line_dedup": op10_line_dedup,
 }
 ORACLES: dict[str, str] = {}
