@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lamella.llm.common import importable
 from lamella.llm.bpe import encode
+from lamella.llm.dart_minhash import classes
 from lamella.llm.hilbert import shards
 from lamella.llm.lengths import histogram
 from lamella.llm.line_dedup import line_dedup
@@ -46,6 +47,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
 
 
+def op7_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -62,6 +67,7 @@ QUERIES = {
     "op4_hilbert_shards": op4_hilbert_shards,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_secrets": op6_secrets,
+    "op7_dart_minhash": op7_dart_minhash,
     "op9_quality": op9_quality,
     "op10_line_dedup": op10_line_dedup,
 }
