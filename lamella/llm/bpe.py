@@ -15,6 +15,7 @@ encoded alike; an empty table gives an empty result; other columns, whatever the
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
 from collections.abc import Iterator
@@ -29,13 +30,14 @@ from lamella.llm.common import importable
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
-#: A cut of a byte-level text: blanks and what follows them. A cut of a word-level text: what lies between blanks.
+#: A cut of a byte-level text: blanks and what follows them.
 CUTS = re.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
-WORDS = re.compile(r"[^ \t\n\r\x0b\x0c]+")
-#: White space on which engines may disagree.
-RARE = re.compile(r"[^\S \t\n\r\x0b\x0c]|[᠎​﻿\x1c-\x1f]")
+#: Characters that some engine takes for white space and another does not, or that stand beside the blanks above.
+RARE = [chr(c) for c in (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)]
+#: Where any of these stands, a text is not made of words with one blank before each.
+UNEVEN = ["  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c", "\x00", "\x01"]
 #: Different cuts that a worker keeps, their longest length, and characters encoded at a time.
-KEEP, LONG, SLICE = 200_000, 64, 1 << 20
+KEEP, LONG, SLICE = 400_000, 64, 1 << 20
 
 
 def byte_table() -> dict[str, int]:
@@ -54,16 +56,26 @@ class Encoder:
         self.own = Tokenizer.from_file(path)
         self.own.encode_special_tokens = not words
         self.words = words
-        self.clear()
-
-    def clear(self) -> None:
+        #: cut -> its number; by number: where its ids lie in ``pool``, how many, and how often it came lately
         self.at: dict[str, int] = {}
-        self.ids: list[list[int]] = []
+        self.pool, self.start, self.size, self.uses = (np.zeros(0, t) for t in (np.int32, np.int64, np.int64, np.int64))
 
     def cuts(self, text: str) -> list[str]:
-        if RARE.search(text):
-            return [text]
-        return (WORDS if self.words else CUTS).findall(text)
+        """Keys of the text's cuts. A bare key of a byte-level text stands for a blank and the key."""
+        if any(c in text for c in RARE[:4]) or not text.isascii() and any(c in text for c in RARE):
+            return [text if self.words else "\x01" + text]
+        if self.words:
+            return text.split()
+        if any(x in text for x in UNEVEN):
+            return ["\x01" + u for u in CUTS.findall(text)]
+        first, *rest = text.replace("\n", " \n").split(" ")
+        return [*(["\x00" + first] if first else []), *rest] if text else []
+
+    def plain(self, key: str) -> str:
+        """The cut that a key stands for."""
+        if self.words or key[:1] == "\n":
+            return key
+        return key[1:] if key[:1] in ("\x00", "\x01") else " " + key
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each text)."""
@@ -81,28 +93,39 @@ class Encoder:
         return np.concatenate(values), np.concatenate(counts)
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.ids) > KEEP:
-            self.clear()
         cuts = [self.cuts(t) for t in texts]
-        new = [u for u in set().union(*cuts) if u not in self.at]
-        new.sort(key=lambda u: len(u) > LONG)  # the short ones, which are kept, first
-        found = [x.ids for x in self.own.encode_batch_fast(new, add_special_tokens=False)]
-        at, base = self.at, len(self.ids)
-        short = sum(len(u) <= LONG for u in new)
-        at.update(zip(new[:short], range(base, base + short), strict=True))
-        self.ids += found[:short]
-        once = dict(zip(new[short:], range(base + short, base + len(new)), strict=True))
-        index = [np.fromiter((at[u] if u in at else once[u] for u in us) if once else map(at.__getitem__, us), np.int64, len(us)) for us in cuts]
-        used, inverse = np.unique(np.concatenate(index), return_inverse=True)
-        rows = [self.ids[j] if j < base + short else found[j - base] for j in used.tolist()]
-        size = np.array([len(r) for r in rows], dtype=np.int64)
-        pool = np.fromiter((x for r in rows for x in r), np.int32, int(size.sum()))
-        start, each = (np.cumsum(size) - size)[inverse], size[inverse]
+        at = self.at
+        new = [u for u in set().union(*cuts) if u not in at]
+        found = [x.ids for x in self.own.encode_batch_fast([self.plain(u) for u in new], add_special_tokens=False)]
+        base = len(self.size)
+        at.update(zip(new, range(base, base + len(new)), strict=True))
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(size) - size])
+        self.pool = np.concatenate([self.pool, np.fromiter(itertools.chain.from_iterable(found), np.int32, int(size.sum()))])
+        self.size = np.concatenate([self.size, size])
+        n = np.fromiter(map(len, cuts), np.int64, len(cuts))
+        index = np.fromiter(map(at.__getitem__, itertools.chain.from_iterable(cuts)), np.int64, int(n.sum()))
+        each = self.size[index]
         ends = np.cumsum(each)
-        values = pool[np.arange(int(each.sum())) + np.repeat(start - (ends - each), each)]
-        text_ends = np.concatenate([[0], ends])[np.cumsum([len(u) for u in cuts])]
+        values = self.pool[np.arange(int(each.sum())) + np.repeat(self.start[index] - (ends - each), each)]
+        text_ends = np.concatenate([[0], ends])[np.cumsum(n)]
+        self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)]) + np.bincount(index, minlength=len(self.size))
+        if len(at) > KEEP or len(self.pool) > 8 * KEEP:
+            self._shrink()
         return values, np.diff(text_ends, prepend=0)
 
+    def _shrink(self) -> None:
+        """Keep the cuts that came most, half of what may be kept, and none of the long ones."""
+        keys = [u for u in self.at if len(u) <= LONG]
+        old = np.fromiter((self.at[u] for u in keys), np.int64, len(keys))
+        top = np.argsort(-self.uses[old], kind="stable")[: KEEP // 2]
+        old = old[top]
+        size = self.size[old]
+        ends = np.cumsum(size)
+        self.pool = self.pool[np.arange(int(size.sum())) + np.repeat(self.start[old] - (ends - size), size)]
+        self.start, self.size, self.uses = ends - size, size, self.uses[old] // 2
+        self.at = {keys[k]: i for i, k in enumerate(top.tolist())}
+
 
 @functools.lru_cache(maxsize=4)
 def encoder(path: str, words: bool = False) -> Encoder:

@@ -131,6 +131,7 @@ def line_dedup(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS)
 
 def line_dedup_stage(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with deduplicated text and its ``n_chars``; a document whose every line with words went is dropped."""
-    d = line_dedup(docs, "text", min_words).filter("n_lines = 0 OR size(removed) < n_lines")
+    # a partition's number keeps the optimiser from copying what the flag is made of into the filter
+    d = line_dedup(docs, "text", min_words).withColumn("_some", F.expr("(n_lines = 0 OR size(removed) < n_lines) AND spark_partition_id() >= 0")).filter("_some")
     d = d.withColumn("n_chars", F.expr("CASE WHEN size(removed) > 0 THEN cast(length(clean_text) AS bigint) ELSE n_chars END")).withColumn("text", F.col("clean_text"))
     return d.select(*docs.columns)
