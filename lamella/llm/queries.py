@@ -14,6 +14,7 @@ from lamella.llm.line_dedup import line_dedup
 from lamella.llm.packing import pack
 from lamella.llm.quality import quality
 from lamella.llm.secret_scan import digest, scan
+from lamella.llm.toxicity import toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram(table(spark, sf_dir, "documents"))
 
@@ -62,6 +67,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
     "op3_packing": op3_packing,
     "op4_hilbert_shards": op4_hilbert_shards,
