@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lamella.llm.common import importable
 from lamella.llm.bpe import encode
+from lamella.llm.chroma import fingerprints, rendered, search
 from lamella.llm.dart_minhash import classes
 from lamella.llm.hilbert import shards
 from lamella.llm.lengths import histogram
@@ -56,6 +57,15 @@ def op7_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
+def op8_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding as a short melody; its fingerprint's class for all rows, and the matches of those whose id 20 divides."""
+    media = rendered(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    members, matches = search(fingerprints(media, "vec_id"), "vec_id", "vec_id % 20 = 0")
+    none = lambda *names: [F.lit(None).cast("long").alias(n) for n in names]
+    rows = members.select(F.lit("member").alias("kind"), "vec_id", "class_id", F.col("n_items").cast("long").alias("n_items"), *none("offset", "hits", "overlap", "bit_errors"))
+    return rows.union(matches.select(F.lit("match"), "query_class", "class_id", *none("n_items"), *(F.col(c).cast("long") for c in ("offset", "hits", "overlap", "bit_errors"))))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -74,6 +84,7 @@ QUERIES = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_secrets": op6_secrets,
     "op7_dart_minhash": op7_dart_minhash,
+    "op8_chroma": op8_chroma,
     "op9_quality": op9_quality,
     "op10_line_dedup": op10_line_dedup,
 }
