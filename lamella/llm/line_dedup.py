@@ -120,7 +120,8 @@ def line_dedup(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS)
     removed = later_copies(stretches(seqs, min_words), min_words)
     effect = seqs.filter(F.col("n_words") >= min_words).select(*KEY, "first", "last").join(removed, [*KEY], "left")
     effect = written(effect.filter("removed IS NOT NULL OR first <> last").select(*KEY, F.col("first").alias("_first"), F.col("removed").alias("_removed")))
-    d = keyed(docs, text).join(effect, [*KEY], "left").withColumn("_l", F.split(text, "\n"))
+    # always by sorted exchange: texts may not fit beside a table of effects, and one plan serves every size
+    d = keyed(docs, text).join(effect.hint("merge"), [*KEY], "left").withColumn("_l", F.split(text, "\n"))
     d = d.withColumn("_at", F.expr(f"filter(sequence(0, size(_l) - 1), i -> btrim(_l[i], {BLANK}) <> '')")).withColumn("n_lines", F.expr("coalesce(size(_at), 0)"))
     copy = "_first IS NOT NULL AND _first <> struct(doc_id IS NOT NULL AS some, doc_id AS id)"
     d = d.withColumn("removed", F.expr(f"CASE WHEN n_lines = 0 THEN cast(array() AS array<int>) WHEN {copy} THEN sequence(0, n_lines - 1) ELSE coalesce(_removed, cast(array() AS array<int>)) END"))

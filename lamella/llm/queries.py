@@ -13,7 +13,7 @@ from lamella.llm.hilbert import shards
 from lamella.llm.lengths import histogram
 from lamella.llm.line_dedup import line_dedup
 from lamella.llm.packing import pack
-from lamella.llm.quality import quality
+from lamella.llm.quality import ALPHA, COST, DELTA, RATES, quality
 from lamella.llm.secret_scan import digest, scan
 from lamella.llm.toxicity import toxicity
 
@@ -76,6 +76,35 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", F.expr("size(removed)").alias("n_removed"), F.expr("array_join(cast(removed AS array<string>), ',')").alias("removed"), F.expr("crc32(clean_text)").alias("clean_crc32"), F.expr("cast(length(clean_text) AS bigint)").alias("clean_chars"))
 
 
+WS = "' '||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
+OP9_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, CASE WHEN trim(t, {WS}) = '' THEN [] ELSE string_split_regex(trim(t, {WS}), '[\x20\x09-\x0D]+') END AS ws,
+        list_filter(string_split(t, chr(10)), lambda l: trim(l, {WS}) <> '') AS ls FROM d),
+win AS (SELECT rid, i, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT rid, ws, unnest(range(1, greatest(len(ws) - 3, 1))) AS i FROM w)),
+rep AS (SELECT rid, g FROM win GROUP BY rid, g HAVING count(*) > 1),
+cov AS (SELECT rid, count(DISTINCT i + o) AS n FROM (SELECT rid, i, unnest(range(5)) AS o FROM win JOIN rep USING (rid, g)) GROUP BY rid),
+c AS (SELECT w.rid, doc_id, stratum, len(ws)::BIGINT AS n_words, strlen_sum AS word_chars,
+        length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, length(regexp_replace(t, '[^A-Z]', '', 'g'))::BIGINT AS upper,
+        len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words
+      FROM (SELECT *, length(array_to_string(ws, ''))::BIGINT AS strlen_sum FROM w) w LEFT JOIN cov USING (rid)),
+m AS (SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
+        [least(1000, 1000 * n_symbols // greatest(word_chars, 1)), least(1000, 1000 * upper // greatest(word_chars, 1)),
+         least(1000, 1000 * n_dup_lines // greatest(n_lines, 1)), least(1000, 1000 * n_repeat_words // greatest(n_words, 1))] AS rates FROM c),
+lab AS (SELECT doc_id, min(quality) AS q FROM labels GROUP BY doc_id HAVING min(quality) IN (0, 1)),
+long AS (SELECT stratum, q, k, rates[k] AS v FROM (SELECT stratum, q, rates, unnest([1, 2, 3, 4]) AS k FROM m JOIN lab USING (doc_id))),
+size AS (SELECT stratum, k, count(*) FILTER (q = 1) AS ng, count(*) FILTER (q = 0) AS nb FROM long GROUP BY stratum, k),
+terms AS (SELECT stratum, k, ng, unnest(range(0, floor(ng * {ALPHA / len(RATES)})::BIGINT + 1)) AS x FROM size),
+tails AS (SELECT stratum, k, x, sum(exp(lgamma(ng + 1) - lgamma(x + 1) - lgamma(ng - x + 1) + x * ln({ALPHA / len(RATES)}) + (ng - x) * ln(1 - {ALPHA / len(RATES)}))) OVER (PARTITION BY stratum, k ORDER BY x) AS tail FROM terms WHERE x <= ng),
+most AS (SELECT size.*, coalesce((SELECT max(x) FROM tails WHERE tails.stratum = size.stratum AND tails.k = size.k AND tail <= {DELTA} / (SELECT count(*) FROM size)), -1) AS most FROM size),
+cut AS (SELECT most.stratum, most.k, t, count(*) FILTER (q = 1 AND v > t) AS g, count(*) FILTER (q = 0 AND v > t) AS b, any_value(ng) AS ng, any_value(nb) AS nb, any_value(most) AS most
+        FROM most JOIN long USING (stratum, k), range(0, 1000) r(t) GROUP BY most.stratum, most.k, t),
+best AS (SELECT stratum, k, arg_max(t, (ng::HUGEINT * b - {COST} * nb::HUGEINT * g) * 1000 + t) AS t FROM cut WHERE g <= most AND ng::HUGEINT * b - {COST} * nb::HUGEINT * g > 0 GROUP BY stratum, k)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT EXISTS (SELECT 1 FROM best WHERE best.stratum = m.stratum AND m.rates[best.k] > best.t) AS kept FROM m
+"""
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
@@ -88,4 +117,4 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_line_dedup": op10_line_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_quality": OP9_SQL}
