@@ -165,8 +165,10 @@ def encode(docs: DataFrame, text: str = "text", path: str = BYTE_BPE, offsets: b
     """``docs`` without ``text`` and with ``ids`` (array of int); with ``offsets``, also ``starts`` and ``ends``, each
     id's code points in the text; with ``decoded``, also the bytes that the ids decode to."""
     importable(docs.sparkSession)
-    ints, rest = T.ArrayType(T.IntegerType()), docs.drop(text)
+    ints = T.ArrayType(T.IntegerType())
     extra = [("ids", ints), *([("starts", ints), ("ends", ints)] if offsets else []), *([("decoded", T.BinaryType())] if decoded else [])]
+    docs = docs.drop(*(n for n, _ in extra if n != text))  # columns of these names are replaced
+    rest = docs.drop(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
@@ -193,6 +195,7 @@ def encode(docs: DataFrame, text: str = "text", path: str = BYTE_BPE, offsets: b
 
 def token_counts(docs: DataFrame, text: str = "text", path: str = BYTE_BPE, name: str = "n_tokens") -> DataFrame:
     """``docs`` without ``text`` and with the number of ids; the ids themselves stay in the worker."""
+    docs = docs.drop(name)
     importable(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -250,6 +250,6 @@ def near_dedup_stage(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each class, its least id; documents without words all stay."""
     found = classes(docs)
     keep = written(found.filter("h1 IS NULL OR (doc_id <=> class_id AND h1 = lead1 AND h2 = lead2)").groupBy("lead1", "lead2", F.expr("if(h1 IS NULL, text_key, 0)").alias("k"), F.expr("if(h1 IS NULL, doc_id, 0)").alias("k2")).agg(F.min(F.struct("doc_id", "text_key")).alias("x")).select("x.*"))
-    d = docs.withColumn("text_key", F.xxhash64(F.lit(3), "text")).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)))
+    d = docs.select(F.struct("*").alias("_row"), F.xxhash64(F.lit(3), "text").alias("text_key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_id"))
     d = hash_join(d, keep.select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), "text_key"), ["_id", "text_key"], "left_semi", 500_000)
-    return d.dropDuplicates(["_id", "text_key"]).select(*docs.columns)
+    return d.dropDuplicates(["_id", "text_key"]).select("_row.*")

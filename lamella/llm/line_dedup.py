@@ -27,7 +27,7 @@ table gives an empty result; other columns pass through, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamella.llm.common import ranked, written
@@ -36,17 +36,18 @@ MIN_WORDS = 50
 BLANK = r"concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))"
 WS = r"[ \\t\\x0B\\f\\r]+"
 KEY = ("_h1", "_h2")
+ADDED = ("clean_text", "n_lines", "removed")
 
 
-def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
+def keyed(docs: DataFrame, text: Column) -> DataFrame:
     """``docs`` with the 128-bit key of each text."""
-    return docs.withColumn("_h1", F.expr(f"xxhash64(`{text}`)")).withColumn("_h2", F.expr(f"xxhash64(0, `{text}`)"))
+    return docs.withColumn("_h1", F.xxhash64(text)).withColumn("_h2", F.xxhash64(F.lit(0), text))
 
 
 def sequences(docs: DataFrame, text: str = "text") -> DataFrame:
     """A row for each different text: its key, first id, copies' last id, words, and its lines with words (id, words)."""
     lines = f"filter(transform(split(`{text}`, '\\n'), l -> struct(btrim(l, {BLANK}) AS t, l)), x -> x.t <> '')"
-    d = keyed(docs.filter(F.col(text).isNotNull()), text).withColumn("_lines", F.expr(lines))
+    d = keyed(docs.filter(F.col(text).isNotNull()), F.col(text)).withColumn("_lines", F.expr(lines))
     d = d.select(*KEY, F.col("doc_id").alias("_id"), F.expr(f"transform(_lines, x -> struct(xxhash64(x.l) AS line, size(split(x.t, '{WS}')) AS words))").alias("lines"))
     return d.groupBy(*KEY).agg(F.min(F.struct(F.col("_id").isNotNull().alias("some"), F.col("_id").alias("id"))).alias("first"), F.max(F.struct(F.col("_id").isNotNull().alias("some"), F.col("_id").alias("id"))).alias("last"), F.first("lines").alias("lines")).withColumn(
         "n_words", F.expr("aggregate(lines, 0L, (a, x) -> a + x.words)")
@@ -120,19 +121,23 @@ def line_dedup(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS)
     removed = later_copies(stretches(seqs, min_words), min_words)
     effect = seqs.filter(F.col("n_words") >= min_words).select(*KEY, "first", "last").join(removed, [*KEY], "left")
     effect = written(effect.filter("removed IS NOT NULL OR first <> last").select(*KEY, F.col("first").alias("_first"), F.col("removed").alias("_removed")))
-    # always by sorted exchange: texts may not fit beside a table of effects, and one plan serves every size
-    d = keyed(docs, text).join(effect.hint("merge"), [*KEY], "left").withColumn("_l", F.split(text, "\n"))
-    d = d.withColumn("_at", F.expr(f"filter(sequence(0, size(_l) - 1), i -> btrim(_l[i], {BLANK}) <> '')")).withColumn("n_lines", F.expr("coalesce(size(_at), 0)"))
-    copy = "_first IS NOT NULL AND _first <> struct(doc_id IS NOT NULL AS some, doc_id AS id)"
+    # a row travels as one struct, so that no name of the input meets one of ours; and always by sorted exchange: texts
+    # may not fit beside a table of effects, and one plan serves every size
+    t = F.col("_row").getField(text)
+    d = keyed(docs.select(F.struct("*").alias("_row")), t).join(effect.hint("merge"), [*KEY], "left").withColumn("_l", F.split(t, "\n"))
+    d = d.withColumn("_at", F.expr(f"filter(sequence(0, size(_l) - 1), i -> btrim(_l[i], {BLANK}) <> '')")).withColumn("n_lines", F.expr("coalesce(if(_l IS NULL, 0, size(_at)), 0)"))
+    copy = "_first IS NOT NULL AND _first <> struct(_row.doc_id IS NOT NULL AS some, _row.doc_id AS id)"
     d = d.withColumn("removed", F.expr(f"CASE WHEN n_lines = 0 THEN cast(array() AS array<int>) WHEN {copy} THEN sequence(0, n_lines - 1) ELSE coalesce(_removed, cast(array() AS array<int>)) END"))
     d = d.withColumn("_stay", F.expr("CASE WHEN size(removed) > 0 THEN array_except(sequence(0, size(_l) - 1), transform(removed, n -> _at[n])) END"))
-    d = d.withColumn("clean_text", F.expr(f"CASE WHEN size(removed) = 0 THEN `{text}` ELSE array_join(transform(_stay, i -> _l[i]), '\n') END"))
-    return d.drop(*KEY, "_first", "_removed", "_l", "_at", "_stay")
+    d = d.withColumn("clean_text", F.when(F.size("removed") == 0, t).otherwise(F.expr("array_join(transform(_stay, i -> _l[i]), '\n')")))
+    return d.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns if c not in ADDED), *ADDED)
 
 
 def line_dedup_stage(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with deduplicated text and its ``n_chars``; a document whose every line with words went is dropped."""
     # a partition's number keeps the optimiser from copying what the flag is made of into the filter
-    d = line_dedup(docs, "text", min_words).withColumn("_some", F.expr("(n_lines = 0 OR size(removed) < n_lines) AND spark_partition_id() >= 0")).filter("_some")
-    d = d.withColumn("n_chars", F.expr("CASE WHEN size(removed) > 0 THEN cast(length(clean_text) AS bigint) ELSE n_chars END")).withColumn("text", F.col("clean_text"))
-    return d.select(*docs.columns)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = docs.select("doc_id", "text", F.struct(*(rest or ["doc_id"])).alias("_doc"))
+    d = line_dedup(rows, "text", min_words).withColumn("_some", F.expr("(n_lines = 0 OR size(removed) < n_lines) AND spark_partition_id() >= 0")).filter("_some")
+    new = {"text": F.col("clean_text"), "n_chars": F.expr("CASE WHEN size(removed) > 0 THEN cast(length(clean_text) AS bigint) ELSE _doc.n_chars END") if "n_chars" in docs.columns else None}
+    return d.select(*(new[c].alias(c) if c in new else F.col("doc_id") if c == "doc_id" else F.col("_doc").getField(c).alias(c) for c in docs.columns))

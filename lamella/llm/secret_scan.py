@@ -93,7 +93,8 @@ def _texts(column: pa.Array) -> list[bytes]:
 
 
 def scan(docs: DataFrame, text: str = "text", name: str = "spans", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with ``name``: an array of (kind, start, end) in code points, end exclusive."""
+    """``docs`` with ``name``: an array of (kind, start, end) in code points, end exclusive. A column of that name is replaced."""
+    docs = docs.drop(name)
     importable(docs.sparkSession)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
@@ -103,7 +104,7 @@ def scan(docs: DataFrame, text: str = "text", name: str = "spans", rules: tuple[
             rows = [[{"kind": rules[k].kind, "start": s, "end": e} for s, e, k in points(t, m)] for t, m in zip(texts, matches(texts, rules), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.drop(name).schema.fields, T.StructField(name, SPANS)]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, SPANS)]))
 
 
 def redact(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:

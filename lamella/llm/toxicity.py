@@ -155,6 +155,7 @@ def sample(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> li
 def scored(docs: DataFrame, weights: dict[int, float], bias: float, text: str = "text") -> DataFrame:
     """``docs`` without ``text`` and with ``score``."""
     importable(docs.sparkSession)
+    docs = docs.drop("score")
     names = [c for c in docs.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
