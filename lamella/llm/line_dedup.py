@@ -59,7 +59,8 @@ def stretches(seqs: DataFrame, min_words: int) -> DataFrame:
     A line's ``n`` counts its document's lines that have words."""
     flat = seqs.filter(F.col("n_words") >= min_words).select(*KEY, F.col("first").alias("_first"), F.posexplode("lines").alias("n", "x")).select(*KEY, "_first", "n", "x.line", "x.words")
     flat = written(flat)
-    often = flat.groupBy("line").agg(F.count("*").alias("c")).filter("c > 1").select("line")
+    # written, so that both sides of the join are plain exchanges, whose hot partitions can be split
+    often = written(flat.groupBy("line").agg(F.count("*").alias("c")).filter("c > 1").select("line"))
     again = written(flat.join(often, "line"))
     rows = again.groupBy(*KEY).agg(F.min("_first").alias("_first"), F.sort_array(F.collect_list(F.struct("n", "line", "words"))).alias("x"))
     # cut each document's repeated lines where the numbering jumps
@@ -110,7 +111,7 @@ def later_copies(runs: DataFrame, min_words: int) -> DataFrame:
     level = "cast(floor(log2(w.n)) AS int)"
     named = f"transform(windows, w -> struct(run[w.s].n AS at, w.n AS n, ranks[{level}][w.s] AS r1, ranks[{level}][w.s + w.n - shiftleft(1, {level})] AS r2))"
     members = written(ranks.select(*KEY, "_first", F.explode(F.expr(named)).alias("w")).select(F.struct("_first", *KEY, "w.at").alias("pos"), "w.n", "w.r1", "w.r2"))
-    firsts = members.groupBy("n", "r1", "r2").agg(F.min("pos").alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    firsts = written(members.groupBy("n", "r1", "r2").agg(F.min("pos").alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c"))
     later = members.join(firsts, ["n", "r1", "r2"]).filter("pos > first").select("pos._h1", "pos._h2", F.struct("pos.at", "n").alias("w")).repartition(*KEY)
     return later.groupBy(*KEY).agg(F.collect_list("w").alias("w")).select(*KEY, F.expr("array_sort(array_distinct(flatten(transform(w, x -> sequence(x.at, x.at + x.n - 1)))))").alias("removed"))
 
