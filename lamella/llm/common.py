@@ -83,7 +83,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         # large star: each node's larger neighbours move to its least neighbour
         both = e.select("u", "v").union(e.select(F.col("v"), F.col("u")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))  # so that the join can split a hot node
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         # small star: each node and its smaller neighbours move to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))

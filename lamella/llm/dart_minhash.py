@@ -209,7 +209,8 @@ def classes(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, n
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
     nodes = written(own.filter("h1 IS NOT NULL").groupBy("h1", "h2").agg(least.alias("x"), F.first("chars").alias("chars"), F.first("bands").alias("bands")).select("h1", "h2", "x.doc_id", "x.text_key", "chars", "bands"))
     cells = nodes.select("h1", F.explode("bands").alias("band"))
-    buckets = cells.groupBy("band").agg(F.min("h1").alias("lead"), F.count("*").alias("n")).filter("n > 1").select("band", "lead")
+    # written, so that both sides of the join are plain exchanges, whose hot partitions can be split
+    buckets = written(cells.groupBy("band").agg(F.min("h1").alias("lead"), F.count("*").alias("n")).filter("n > 1").select("band", "lead"))
     near = components(cells.join(buckets, "band").filter("h1 <> lead").select(F.col("h1").alias("a"), F.col("lead").alias("b")))
     members = written(nodes.drop("bands").join(near.select(F.col("node").alias("h1"), F.col("label").alias("group")), "h1"))
     sizes = members.groupBy("group").agg(F.sum("chars").alias("c"), F.count("*").alias("n")).select("group", F.expr(f"cast(greatest(1, ceil(c / {block}D), ceil(n / {block_docs}D)) AS int)").alias("blocks"))

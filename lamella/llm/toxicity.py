@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from lamella.llm.bpe import texts_of
 from lamella.llm.common import hash_join, importable
 
-DIMS, PIECE, MOST_ROWS, MOST_FEATURES = 1 << 20, 6, 20_000, 4096
+DIMS, PIECE, MOST_ROWS, MOST_FEATURES = 1 << 20, 6, 12_000, 4096
 FAIRNESS, L1, STEPS = 10.0, 2e-4, 400
 # Identity terms by kind; a term is swapped for the next of its kind.
 IDENTITY = (
@@ -97,8 +97,11 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray | None, int]], fairness: float =
     bias = float(np.log((positive + 0.5) / (n - positive + 0.5)))
     if not positive or positive == n:
         return {}, min(bias, -0.01) if not positive else bias
-    ids, at = np.concatenate([r[0] for r in rows]), np.repeat(np.arange(n), [len(r[0]) for r in rows])
-    seen, yes = np.bincount(ids, minlength=DIMS), np.bincount(ids, weights=y[at], minlength=DIMS)
+    seen, yes = np.zeros(DIMS, np.int64), np.zeros(DIMS, np.int64)
+    for i in range(0, n, 500):  # in slices: the driver has little memory beside the features
+        part = rows[i : i + 500]
+        seen += np.bincount(np.concatenate([r[0] for r in part]), minlength=DIMS)
+        yes += np.bincount(np.concatenate([r[0] if r[2] else r[0][:0] for r in part]), minlength=DIMS)
     base = positive / n
     z = np.abs(yes - seen * base) / np.sqrt(seen * base * (1 - base) + 1)
     top = np.argsort(-z, kind="stable")[:most_features]
