@@ -294,8 +294,8 @@ class Store:
     def _merge(self, layers: list[dict]) -> bool:
         """Replace neighbouring layers by one with the greatest of their numbers, so layers that were added meanwhile stay newer."""
         name = f"layers/{uuid.uuid4().hex}"
-        merged = R.merge([Table(self.spark, f"{self.path}/{x['path']}").raw for x in layers])
-        table = store_sorted(self.spark, f"{self.path}/{name}", merged, self.options.compression, sum(x["rows"] for x in layers))
+        log = R.stacked([Table(self.spark, f"{self.path}/{x['path']}").raw for x in layers])
+        table = store_sorted(self.spark, f"{self.path}/{name}", log, self.options.compression, sum(x["rows"] for x in layers), layers=True)
         gone = {x["path"] for x in layers}
         new = {"seq": max(x["seq"] for x in layers), "path": name, **table.meta.as_json()}
         done = False

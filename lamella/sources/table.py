@@ -62,10 +62,15 @@ def write_table(spark: SparkSession, path: str, data, strict: bool = False, comp
     return store_sorted(spark, path, df.select("key", "value") if strict else R.last_wins(df), compression, rows_expected, partitions)
 
 
-def store_sorted(spark: SparkSession, path: str, rows: DataFrame, compression: str = "zstd", rows_expected: int | None = None, partitions: int | None = None) -> Table:
-    """Write (key, value), one row for each key, as a table."""
+def store_sorted(spark: SparkSession, path: str, rows: DataFrame, compression: str = "zstd", rows_expected: int | None = None, partitions: int | None = None, layers: bool = False) -> Table:
+    """Write (key, value), one row for each key, as a table.
+
+    ``layers``: the rows are a log of few rows a key (``stacked`` tables); they are resolved after the range exchange, which
+    already brings a key together, so merging takes one exchange and no second one for grouping.
+    """
     files, aside = Files(spark, path), f"{path.rstrip('/')}.{uuid.uuid4().hex}.tmp"
     spread = rows.repartitionByRange(partitions, "key") if partitions else rows.repartitionByRange("key")
+    spread = R.resolve(spread, keep_tombstones=True) if layers else spread
     writer = spread.sortWithinPartitions("key").write.option("compression", compression).option("parquet.page.write-checksum.enabled", "true")
     writer = writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", str(max(1000, rows_expected or 100_000)))
     writer.parquet(aside)
@@ -186,5 +191,6 @@ def merge_tables(spark: SparkSession, inputs: list[str], out: str, compression:
     if out in inputs:
         raise ValueError("the output is one of the inputs")
     tables = [Table(spark, p) for p in inputs]
-    merged = R.merge([t.raw for t in tables])
-    return len(store_sorted(spark, out, merged, compression, sum(len(t) for t in tables)))
+    if not tables:
+        raise ValueError("nothing to merge")
+    return len(store_sorted(spark, out, R.stacked([t.raw for t in tables]), compression, sum(len(t) for t in tables), layers=True))

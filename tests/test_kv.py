@@ -259,3 +259,9 @@ def test_pushdown(spark, tmp_path):
     t = write_table(spark, f"{tmp_path}/t", {f"{i:04}": "v" for i in range(100)})
     plan = R.scan(R.resolve(R.stacked([t.raw, t.raw])), prefix="00")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("GreaterThanOrEqual(key") == 2 and plan.count("LessThan(key") == 2
+
+
+def test_merging_takes_one_exchange(spark, tmp_path):
+    a, b = (write_table(spark, f"{tmp_path}/{x}", {"k": x}) for x in "ab")
+    plan = R.resolve(R.stacked([a.raw, b.raw]).repartitionByRange("key"), True).sortWithinPartitions("key")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
