@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -37,7 +38,15 @@ RARE = [chr(c) for c in (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(
 #: Where any of these stands, a text is not made of words with one blank before each.
 UNEVEN = ["  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c", "\x00", "\x01"]
 #: Different cuts that a worker keeps, their longest length, and characters encoded at a time.
-KEEP, LONG, SLICE = 400_000, 64, 1 << 20
+KEEP, LONG, SLICE = 400_000, 64, 4 << 20
+#: Words of letters, with signs after them or not, and how many of them are encoded at a time.
+SIMPLE, SIGNS, BLOCK = r"^\p{L}+[,.;:!?$&%#*]*$", r"[,.;:!?$&%#*]$", 500
+
+
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from ``start`` on, ``size`` of them, for each pair, one after another."""
+    ends = np.cumsum(size)
+    return np.arange(int(size.sum())) + np.repeat(start - (ends - size), size)
 
 
 def byte_table() -> dict[str, int]:
@@ -56,20 +65,41 @@ class Encoder:
         self.own = Tokenizer.from_file(path)
         self.own.encode_special_tokens = not words
         self.words = words
+        vocabulary = self.own.get_vocab()
+        #: by id: does the piece end a word, or begin with a blank?
+        self.mark = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.mark[[k for piece, k in vocabulary.items() if (piece.endswith("</w>") if words else piece.startswith("\u0120"))]] = True
         #: cut -> its number; by number: where its ids lie in ``pool``, how many, and how often it came lately
         self.at: dict[str, int] = {}
         self.pool, self.start, self.size, self.uses = (np.zeros(0, t) for t in (np.int32, np.int64, np.int64, np.int64))
 
-    def cuts(self, text: str) -> list[str]:
-        """Keys of the text's cuts. A bare key of a byte-level text stands for a blank and the key."""
+    def odd(self, text: str) -> list[str] | None:
+        """Keys of the cuts of a text that is not made of words with plain blanks between; None for one that is."""
         if any(c in text for c in RARE[:4]) or not text.isascii() and any(c in text for c in RARE):
             return [text if self.words else "\x01" + text]
-        if self.words:
-            return text.split()
-        if any(x in text for x in UNEVEN):
+        if not self.words and any(x in text for x in UNEVEN):
             return ["\x01" + u for u in CUTS.findall(text)]
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return [*(["\x00" + first] if first else []), *rest] if text else []
+        return None
+
+    def cuts(self, texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Keys of the cuts of all texts; for each text, where they begin and how many. A bare key of a byte-level text
+        stands for a blank and the key."""
+        odd = [self.odd(t) for t in texts]
+        even = np.array([o is None for o in odd])
+        plain = [t for t, o in zip(texts, odd, strict=True) if o is None]
+        if self.words:
+            split = pc.ascii_split_whitespace(pa.array(plain, pa.large_string()))
+        else:
+            split = pc.split_pattern(pa.array(["\x00" + t.replace("\n", " \n") for t in plain], pa.large_string()), " ")
+        rest = [o for o in odd if o is not None]
+        keys = pa.concat_arrays([split.flatten(), pa.array(itertools.chain.from_iterable(rest), pa.large_string())])
+        n = np.zeros(len(texts), np.int64)
+        n[even] = np.diff(split.offsets.to_numpy())
+        n[~even] = [len(o) for o in rest]
+        start = np.zeros(len(texts), np.int64)
+        for some, before in ((even, 0), (~even, int(n[even].sum()))):
+            start[some] = before + np.cumsum(n[some]) - n[some]
+        return keys, start, n
 
     def plain(self, key: str) -> str:
         """The cut that a key stands for."""
@@ -93,26 +123,64 @@ class Encoder:
         return np.concatenate(values), np.concatenate(counts)
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        cuts = [self.cuts(t) for t in texts]
-        at = self.at
-        new = [u for u in set().union(*cuts) if u not in at]
-        found = [x.ids for x in self.own.encode_batch_fast([self.plain(u) for u in new], add_special_tokens=False)]
-        base = len(self.size)
-        at.update(zip(new, range(base, base + len(new)), strict=True))
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(size) - size])
-        self.pool = np.concatenate([self.pool, np.fromiter(itertools.chain.from_iterable(found), np.int32, int(size.sum()))])
-        self.size = np.concatenate([self.size, size])
-        n = np.fromiter(map(len, cuts), np.int64, len(cuts))
-        index = np.fromiter(map(at.__getitem__, itertools.chain.from_iterable(cuts)), np.int64, int(n.sum()))
+        cuts, first, n = self.cuts(texts)
+        coded = cuts.dictionary_encode()
+        keys = coded.dictionary.to_pylist()
+        number = np.fromiter(map(self.at.get, keys, itertools.repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            base, fresh = len(self.size), [keys[i] for i in new.tolist()]
+            values, size = self.fresh(coded.dictionary.take(pa.array(new)), fresh)
+            number[new] = np.arange(base, base + len(new))
+            self.at.update(zip(fresh, range(base, base + len(new)), strict=True))
+            self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(size) - size])
+            self.pool = np.concatenate([self.pool, values])
+            self.size = np.concatenate([self.size, size])
+            self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
+        index = number[coded.indices.to_numpy()[ranges(first, n)]]
         each = self.size[index]
-        ends = np.cumsum(each)
-        values = self.pool[np.arange(int(each.sum())) + np.repeat(self.start[index] - (ends - each), each)]
-        text_ends = np.concatenate([[0], ends])[np.cumsum(n)]
-        self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)]) + np.bincount(index, minlength=len(self.size))
-        if len(at) > KEEP or len(self.pool) > 8 * KEEP:
+        values = self.pool[ranges(self.start[index], each)]
+        counts = np.diff(np.concatenate([[0], np.cumsum(each)])[np.cumsum(n)], prepend=0)
+        self.uses += np.bincount(index, minlength=len(self.size))
+        if len(self.at) > KEEP or len(self.pool) > 8 * KEEP:
             self._shrink()
-        return values, np.diff(text_ends, prepend=0)
+        return values, counts
+
+    def fresh(self, column: pa.Array, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all keys one after another, number of ids of each key).
+
+        Simple words go to the library many at once, with a blank between. Where each word's ids begin or end shows in
+        the pieces: with words' ends a piece that ends a letter run or a run of signs, else a piece that begins with a
+        blank. No word has fewer such pieces than is expected of it, so their sum tells whether all have as many; a
+        block where the sum differs is encoded word by word, as are all other keys.
+        """
+        simple = pc.match_substring_regex(column, SIMPLE if self.words else r"^[^\x00\x01\n]").to_numpy(zero_copy_only=False)
+        marks = np.ones(len(keys), np.int64)
+        if self.words:
+            marks += pc.match_substring_regex(column, SIGNS).to_numpy(zero_copy_only=False)
+        many = np.flatnonzero(simple)
+        blocks = [many[i : i + BLOCK] for i in range(0, len(many), BLOCK)]
+        lead = "" if self.words else " "
+        joined = self.own.encode_batch_fast([lead + " ".join([keys[i] for i in b.tolist()]) for b in blocks], add_special_tokens=False)
+        found, size, at = [], np.zeros(len(keys), np.int64), []
+        single = [np.flatnonzero(~simple)]
+        for block, got in zip(blocks, joined, strict=True):
+            ids, due = np.array(got.ids, np.int32), np.cumsum(marks[block])
+            where = np.flatnonzero(self.mark[ids])
+            if len(where) != due[-1]:
+                single.append(block)
+                continue
+            size[block] = np.diff(where[due - 1] + 1, prepend=0) if self.words else np.diff(where, append=len(ids))
+            found.append(ids)
+            at.append(block)
+        left = np.concatenate(single)
+        own = [x.ids for x in self.own.encode_batch_fast([self.plain(keys[i]) for i in left.tolist()], add_special_tokens=False)]
+        size[left] = np.fromiter(map(len, own), np.int64, len(own))
+        order = np.concatenate([*at, left])  # keys in the order of their ids
+        begins = np.zeros(len(keys), np.int64)
+        begins[order] = np.cumsum(size[order]) - size[order]
+        values = np.concatenate([*found, np.fromiter(itertools.chain.from_iterable(own), np.int32, int(size[left].sum()))])
+        return values[ranges(begins, size)], size
 
     def _shrink(self) -> None:
         """Keep the cuts that came most, half of what may be kept, and none of the long ones."""
@@ -121,9 +189,8 @@ class Encoder:
         top = np.argsort(-self.uses[old], kind="stable")[: KEEP // 2]
         old = old[top]
         size = self.size[old]
-        ends = np.cumsum(size)
-        self.pool = self.pool[np.arange(int(size.sum())) + np.repeat(self.start[old] - (ends - size), size)]
-        self.start, self.size, self.uses = ends - size, size, self.uses[old] // 2
+        self.pool = self.pool[ranges(self.start[old], size)]
+        self.start, self.size, self.uses = np.cumsum(size) - size, size, self.uses[old] // 2
         self.at = {keys[k]: i for i, k in enumerate(top.tolist())}
 
 
