@@ -4,20 +4,26 @@ A recording is a binary column of 16-bit little-endian mono samples. Frames of `
 pitch classes; over the frames' integral image sixteen area filters (differences of neighbouring rectangles in time and pitch)
 are read at every frame, each quantised to two bits of Gray code and packed into one 32-bit item.
 
-Two recordings are aligned by the histogram of offsets at which their items are equal; at the best offset the share of
-differing bits over the overlap decides. Recordings with equal fingerprints fold into one class first, so copies are
-never expanded into pairs; the search takes a stated query set against all classes, through an inverted list of items.
+Two recordings match at an offset if at most ``most_errors`` of the bits of their overlap differ and chance does not explain
+it: ``hits`` items are equal there, or the differing bits are at most ``allowed`` for an overlap of that length, with or
+without an equal item. Of several such offsets the one with most equal items is told, then the nearest. Recordings with
+equal fingerprints fold into one class first, so copies are never expanded into pairs; the search takes a stated query set
+against all classes.
 
-Fingerprints are one narrow pass. The search shuffles items (position and class only), counts offsets with partial aggregation,
-and brings whole fingerprints together only for pairs with ``hits`` or more equal items at one offset.
+Fingerprints are one narrow pass. Offsets with ``hits`` equal items come from an inverted list (position and class only),
+counted with partial aggregation. The differing bits of every query and class at every offset are read from the correlation
+of their bits, in blocks of classes against blocks of queries: exact, and its cost is the product of queries and classes.
 
-Defined results: a null, empty or short recording has no items and matches nothing; null ids take no part in the search but
+Defined results: a null, empty or short recording has no items and matches nothing; fewer than four items are told from chance
+by no number of differing bits and match only their copies, by class; null ids take no part in the search but
 are returned as members; repeated rows are members of one class; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +41,11 @@ SPAN = max(WIDTHS)
 CUTS = (-0.25, 0.0, 0.25)
 GRAY = np.array([0, 1, 3, 2], dtype=np.uint32)
 HITS, MOST_ERRORS = 8, 0.35
+#: In different recordings (the melodies of sf0.1, overlaps of 4 to 48 items) the differing share of k items' bits has mean CHANCE
+#: and deviation SPREAD / sqrt(k + MORE). SIGMAS below the mean, about 4 in 10^11 alignments are chance; from 256 items on that is 0.35.
+CHANCE, SPREAD, MORE, SIGMAS = 0.424, 0.183, 4.6, 6.5
+#: Rows of a block, and numbers of a correlation that is held at once.
+BLOCK, HELD = 256, 1 << 23
 
 
 @functools.lru_cache(maxsize=2)
@@ -84,17 +95,70 @@ def items(frames: np.ndarray) -> np.ndarray:
     return out.view(np.int32)
 
 
-def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int] | None:
-    """(offset, equal items there, overlap, differing bits) of the offset with most equal items; None without any."""
-    i, j = np.nonzero(a[:, None] == b[None, :])
-    if not len(i):
-        return None
-    offset, n = np.unique(i - j, return_counts=True)
-    best = max(zip(n.tolist(), (-np.abs(offset)).tolist(), offset.tolist(), strict=True))
-    o = best[2]
+def allowed(k: np.ndarray, most_errors: float = MOST_ERRORS) -> np.ndarray:
+    """Most differing bits of ``k`` aligned items that chance does not explain; negative where there is no such number."""
+    share = np.minimum(most_errors, CHANCE - SIGMAS * SPREAD / np.sqrt(k + MORE))
+    return np.where(k < 1, -1, np.floor(share * 32 * k)).astype(np.int64)
+
+
+def compared(a: np.ndarray, b: np.ndarray, o: int) -> tuple[int, int, int]:
+    """(equal items, overlap, differing bits) at an offset."""
     x, y = a[max(o, 0) :], b[max(-o, 0) :]
     k = min(len(x), len(y))
-    return o, best[0], k, int(np.bitwise_count((x[:k] ^ y[:k]).view(np.uint32)).sum())
+    differ = x[:k] ^ y[:k]
+    return int((differ == 0).sum()), k, int(np.bitwise_count(differ.view(np.uint32)).sum())
+
+
+def align(a: np.ndarray, b: np.ndarray, hits: int = HITS, most_errors: float = MOST_ERRORS) -> tuple[int, int, int, int] | None:
+    """(offset, equal items there, overlap, differing bits) of the best offset, tried one by one; None if no offset matches."""
+    best = None
+    for o in range(1 - len(b), len(a)):
+        same, k, errors = compared(a, b, o)
+        if errors <= allowed(k, most_errors) or (same >= hits and errors <= k * 32 * most_errors):
+            best = max(best or (-1,), (same, -abs(o), o, k, errors))
+    return best and (best[2], best[0], *best[3:])
+
+
+def smooth(n: int) -> int:
+    """The least length from ``n`` on that has no prime factor above 5."""
+    while True:
+        m = n
+        for p in (2, 3, 5):
+            while m % p == 0:
+                m //= p
+        if m == 1:
+            return n
+        n += 1
+
+
+def spectrum(rows: list[np.ndarray], n: int, first: int, bits: int) -> np.ndarray:
+    """Frequencies x rows x bits: transforms of the rows' bits as -1 and 1, zeros behind their ends."""
+    out = np.zeros((n, len(rows), bits), np.float32)
+    for i, x in enumerate(rows):
+        out[: len(x), i] = ((x.view(np.uint32)[:, None] >> np.arange(first, first + bits, dtype=np.uint32)) & 1).astype(np.float32) * 2 - 1
+    return np.fft.rfft(out, axis=0)
+
+
+def near(a: list[np.ndarray], b: list[np.ndarray], most_errors: float = MOST_ERRORS) -> Iterator[tuple[int, int, int]]:
+    """(row of a, row of b, offset) wherever the differing bits are at most ``allowed``, and few more for rounding.
+    The correlation at an offset is the number of equal bits less that of differing ones."""
+    la, lb = (np.array([len(x) for x in rows]) for rows in (a, b))
+    n = smooth(int(la.max() + lb.max()) - 1)
+    nb = max(1, min(len(b), HELD // n))
+    na = max(1, HELD // (n * nb))
+    bits = max(1, min(32, HELD // (n * max(nb, min(na, len(a))))))
+    k = np.arange(min(la.max(), lb.max()) + 1)
+    most = allowed(k, most_errors)
+    least = np.where(most < 0, np.inf, 32 * k - 2 * most - 1 - 1e-4 * k).astype(np.float32)
+    o = np.arange(n)
+    o = np.where(o < la.max(), o, o - n)
+    one = lambda x: x[:1] if (x == x[0]).all() else x  # noqa: E731  rows of one length share their overlaps
+    for i, j in itertools.product(range(0, len(a), na), range(0, len(b), nb)):
+        x, y = a[i : i + na], b[j : j + nb]
+        product = sum(spectrum(x, n, p, min(bits, 32 - p)) @ spectrum(y, n, p, min(bits, 32 - p)).conj().swapaxes(1, 2) for p in range(0, 32, bits))
+        overlap = np.minimum((one(la[i : i + na]) - np.maximum(o, 0)[:, None])[:, :, None], (one(lb[j : j + nb]) - np.maximum(-o, 0)[:, None])[:, None, :])
+        at, u, v = np.nonzero(np.fft.irfft(product, n, axis=0) >= least[np.maximum(overlap, 0)])
+        yield from zip((u + i).tolist(), (v + j).tolist(), o[at].tolist(), strict=True)
 
 
 def fingerprints(media: DataFrame, key: str, audio: str = "audio", rate: int = RATE) -> DataFrame:
@@ -130,9 +194,53 @@ def rendered(table: DataFrame, key: str, numbers: str, audio: str = "audio") ->
     return table.select(F.col(key).cast("long").alias(key), numbers).mapInArrow(run, f"{key} long, {audio} binary")
 
 
+def blocks(live: DataFrame, name: str) -> DataFrame:
+    """Blocks of neighbouring rows of like length: (ids, sizes, items) with ``name`` before each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, items = batch.column("class_id").to_numpy(), batch.column("items")
+            sizes = items.value_lengths().to_numpy()
+            order = np.argsort(sizes, kind="stable")
+            while len(order):
+                longest = int(sizes[order[-1]])
+                take, order = np.split(order[::-1], [min(BLOCK, max(1, math.isqrt(HELD // (2 * longest))))])
+                order = order[::-1]
+                data = items.take(pa.array(take)).flatten().to_numpy().astype("<i4").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([ids[take]], pa.list_(pa.int64())), pa.array([sizes[take]], pa.list_(pa.int32())), pa.array([data], pa.large_binary()).cast(pa.binary())], [f"{name}_ids", f"{name}_sizes", f"{name}_items"])
+
+    return live.select("class_id", "items").mapInArrow(run, f"{name}_ids array<long>, {name}_sizes array<int>, {name}_items binary")
+
+
+FOUND = "query_class long, class_id long, hits long, near int, offset int, overlap int, bit_errors int"
+
+
+def scanned(live: DataFrame, most_errors: float = MOST_ERRORS) -> DataFrame:
+    """The best offset within ``allowed`` of every query and other class that have one."""
+    asked, others = written(blocks(live.filter("asked"), "q")), written(blocks(live, "c"))
+    tasks = max(1, min(others.count(), 8 * live.sparkSession.sparkContext.defaultParallelism))
+
+    def rows_of(row: dict, name: str) -> list[np.ndarray]:
+        return np.split(np.frombuffer(row[f"{name}_items"], "<i4"), np.cumsum(row[f"{name}_sizes"])[:-1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in (r for batch in batches for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()):
+            a, b, best = rows_of(row, "q"), rows_of(row, "c"), {}
+            for i, j, o in near(a, b, most_errors):
+                if row["q_ids"][i] != row["c_ids"][j]:
+                    same, k, errors = compared(a[i], b[j], o)
+                    if errors <= allowed(k, most_errors):
+                        best[i, j] = max(best.get((i, j), (-1,)), (same, -abs(o), o, k, errors))
+            if best:
+                yield pa.RecordBatch.from_pylist([dict(zip(kinds.names, (row["q_ids"][i], row["c_ids"][j], *x), strict=True)) for (i, j), x in best.items()], kinds)
+
+    kinds = pa.schema([(x.split()[0], {"long": pa.int64(), "int": pa.int32()}[x.split()[1]]) for x in FOUND.split(", ")])
+    return others.repartition(tasks).crossJoin(asked).mapInArrow(run, FOUND)
+
+
 def search(prints: DataFrame, key: str, is_query: str, hits: int = HITS, most_errors: float = MOST_ERRORS) -> tuple[DataFrame, DataFrame]:
     """(members, matches) of fingerprints: members is (key, class_id, n_items) for every row, matches is (query_class, class_id,
-    offset, hits, overlap, bit_errors) for each class with a query in it against all other classes."""
+    offset, hits, overlap, bit_errors) for each class with a query in it against all other classes, as ``align`` has it."""
     own = written(prints.withColumn("_h1", F.xxhash64("items")).withColumn("_h2", F.xxhash64(F.lit(5), "items")))
     kinds = written(own.groupBy("_h1", "_h2").agg(F.min(key).alias("class_id"), F.first("items").alias("items"), F.max(F.expr(f"coalesce({is_query}, false)")).alias("asked")))
     members = own.select(key, "_h1", "_h2", F.size("items").alias("n_items")).join(kinds.select("_h1", "_h2", "class_id"), ["_h1", "_h2"]).select(key, F.expr(f"if(n_items = 0, {key}, class_id)").alias("class_id"), "n_items")
@@ -141,9 +249,12 @@ def search(prints: DataFrame, key: str, is_query: str, hits: int = HITS, most_er
     asked = flat.filter("asked").select(F.col("class_id").alias("query_class"), F.col("pos").alias("_q"), "item")
     met = asked.join(flat.select("class_id", "pos", "item"), "item").filter("query_class <> class_id")
     counts = met.groupBy("query_class", "class_id", F.expr("_q - pos").alias("offset")).agg(F.count("*").alias("hits")).filter(F.col("hits") >= hits)
-    best = counts.groupBy("query_class", "class_id").agg(F.max(F.struct("hits", F.expr("-abs(offset)").alias("near"), "offset")).alias("x")).select("query_class", "class_id", "x.offset", "x.hits")
+    met_at = counts.groupBy("query_class", "class_id").agg(F.collect_list(F.struct("hits", F.expr("-abs(offset)").alias("near"), "offset")).alias("x"))
     side = lambda name, out: live.select(F.col("class_id").alias(name), F.col("items").alias(out))
-    d = best.join(side("query_class", "_a"), "query_class").join(side("class_id", "_b"), "class_id")
-    d = d.withColumn("overlap", F.expr("cast(least(size(_a) - greatest(offset, 0), size(_b) - greatest(-offset, 0)) AS int)"))
-    d = d.withColumn("bit_errors", F.expr("aggregate(sequence(0, overlap - 1), 0, (s, i) -> s + bit_count(_a[i + greatest(offset, 0)] ^ _b[i + greatest(-offset, 0)]))"))
-    return members, d.filter(F.col("bit_errors") <= F.col("overlap") * 32 * most_errors).drop("_a", "_b")
+    d = met_at.join(side("query_class", "_a"), "query_class").join(side("class_id", "_b"), "class_id")
+    d = d.withColumn("x", F.expr("transform(x, t -> struct(t.hits AS hits, t.near AS near, t.offset AS offset, cast(least(size(_a) - greatest(t.offset, 0), size(_b) - greatest(-t.offset, 0)) AS int) AS overlap))"))
+    # a negative int has its 32 high bits counted too, unless they are cut off
+    d = d.withColumn("x", F.expr("transform(x, t -> struct(t.hits AS hits, t.near AS near, t.offset AS offset, t.overlap AS overlap, aggregate(sequence(0, t.overlap - 1), 0, (s, i) -> s + bit_count((_a[i + greatest(t.offset, 0)] ^ _b[i + greatest(-t.offset, 0)]) & 4294967295L)) AS bit_errors))"))
+    equal = d.select("query_class", "class_id", F.inline(F.expr(f"filter(x, t -> t.bit_errors <= t.overlap * 32 * {most_errors!r}D)")))
+    best = equal.union(scanned(live, most_errors)).groupBy("query_class", "class_id").agg(F.max(F.struct("hits", "near", "offset", "overlap", "bit_errors")).alias("x"))
+    return members, best.select("query_class", "class_id", "x.offset", "x.hits", "x.overlap", "x.bit_errors")

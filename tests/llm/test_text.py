@@ -422,3 +422,24 @@ def test_search(spark):
     assert len(melody[0].audio) == 2 * 3 * chroma.HOP and melody[1].audio is None
     e, _ = chroma.search(chroma.fingerprints(media.filter("false"), "k"), "k", "k % 20 = 0")
     assert e.count() == 0
+
+
+def test_search_equals_alignment_of_all_pairs(spark):
+    g = np.random.default_rng(3)
+    base = g.uniform(-0.5, 0.5, (6, 64))
+    rows = list(base)
+    for m in (6, 8, 12):  # changed notes
+        for x in base:
+            y = x.copy()
+            y[g.choice(64, m, replace=False)] = g.uniform(-0.5, 0.5, m)
+            rows.append(y)
+    rows += [base[0][20:52], base[1][:24], base[2][5:28], base[3][40:60], base[4][30:], np.concatenate([base[5][40:], base[4][:40]]), np.full(40, 0.1), np.full(64, 0.1), g.uniform(-0.5, 0.5, 200)]
+    media = chroma.rendered(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rows)], "k long, v array<double>"), "k", "v")
+    prints = chroma.fingerprints(media, "k").cache()
+    own = {r["k"]: np.array(r["items"], np.int32) for r in prints.collect()}
+    _, matches = chroma.search(prints, "k", "k % 2 = 0")
+    want = {(i, j): x for i in own if i % 2 == 0 for j in own if j != i and (x := chroma.align(own[i], own[j]))}
+    assert {(r.query_class, r.class_id): (r.offset, r.hits, r.overlap, r.bit_errors) for r in matches.collect()} == want
+    changed = [(i, i + 6 * n) for i in (0, 2, 4) for n in (1, 2)]  # 6 and 8 changed notes
+    assert all(want[p][0] == 0 for p in changed) and min(want[p][1] for p in changed) < chroma.HITS
+    assert any(len(own[j]) < chroma.HITS for _, j in want) and {(i % 6, j % 6) for i, j in want if j < 24 and i < 24} == {(i, i) for i in (0, 2, 4)}
