@@ -3,6 +3,8 @@
 A text's features are the words it contains and their pieces of six characters, hashed. Weights minimise logistic loss on
 labelled texts, plus an L1 term, plus ``fairness`` times the squared change of score when the identity terms of a text are
 swapped for others of their kind. So a group's mere mention cannot carry weight, and neutral mentions score as without it.
+The terms are ``identity``: by default a list in English, German, Spanish and French. A text without one of them has no
+counterfactual; where no labelled text has one, what is fitted is a plain logistic classifier with the L1 term.
 
 Fitting takes a bounded sample: at most about ``most_rows`` labelled texts by a hash of their id (all of them while there
 are fewer), whose features, not texts, come to the driver. Among the features the ``most_features`` are fitted whose rates differ
@@ -19,7 +21,7 @@ import functools
 import itertools
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +47,51 @@ IDENTITY = (
     ("immigrants", "refugees", "citizens", "foreigners"),
     ("deaf", "blind", "disabled", "autistic"),
     ("old", "young", "elderly"),
+    # German; forms of the same ending are of one kind
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("frau", "mann"),
+    ("weiblich", "männlich", "divers"),
+    ("weibliche", "männliche"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"),
+    ("muslim", "christ", "jude", "hindu", "buddhist", "atheist"),
+    ("muslimische", "christliche", "jüdische", "hinduistische", "buddhistische"),
+    ("schwul", "lesbisch", "heterosexuell", "bisexuell"),
+    ("schwule", "lesben", "heterosexuelle", "bisexuelle"),
+    ("schwarze", "weiße", "asiatische", "arabische", "afrikanische", "europäische", "türkische", "polnische"),
+    ("türken", "polen", "araber", "afrikaner", "europäer", "chinesen", "inder", "amerikaner"),
+    ("ausländer", "einwanderer", "flüchtlinge", "bürger"),
+    ("taub", "behindert", "autistisch"),
+    ("behinderte", "gehörlose", "blinde", "autisten"),
+    ("alte", "junge"),
+    # Spanish
+    ("mujeres", "hombres", "niñas", "niños"),
+    ("mujer", "hombre"),
+    ("femenino", "masculino"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("musulmán", "cristiano", "judío", "hindú", "budista", "ateo"),
+    ("gais", "lesbianas", "heterosexuales", "bisexuales"),
+    ("negros", "blancos", "asiáticos", "latinos", "indígenas", "árabes"),
+    ("negro", "blanco", "asiático", "árabe"),
+    ("africanos", "europeos", "mexicanos", "chinos", "indios", "americanos", "turcos", "gitanos"),
+    ("inmigrantes", "refugiados", "ciudadanos", "extranjeros"),
+    ("inmigrante", "refugiado", "ciudadano", "extranjero"),
+    ("sordos", "ciegos", "discapacitados", "autistas"),
+    ("viejos", "jóvenes", "ancianos"),
+    # French
+    ("femmes", "hommes", "filles", "garçons"),
+    ("femme", "homme"),
+    ("féminin", "masculin"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("musulman", "chrétien", "juif", "hindou", "bouddhiste", "athée"),
+    ("homosexuels", "lesbiennes", "hétérosexuels", "bisexuels"),
+    ("noirs", "blancs", "asiatiques", "arabes", "autochtones"),
+    ("noir", "blanc", "asiatique", "arabe"),
+    ("africains", "européens", "mexicains", "chinois", "indiens", "américains", "turcs", "polonais"),
+    ("immigrés", "réfugiés", "citoyens", "étrangers"),
+    ("immigré", "réfugié", "citoyen", "étranger"),
+    ("sourds", "aveugles", "handicapés", "autistes"),
+    ("vieux", "jeunes", "âgés"),
 )
-SWAP = {w: kind[(i + 1) % len(kind)] for kind in IDENTITY for i, w in enumerate(kind)}
 WORD = re.compile(r"\w+")
 
 
@@ -61,12 +106,16 @@ def token_features(token: str) -> tuple[int, ...]:
     return tuple({_hash(x) for w in words for x in (w, *("#" + w[i : i + PIECE] for i in range(len(w) - PIECE + 1)))})
 
 
-@functools.lru_cache(maxsize=50_000)
-def swapped(token: str) -> str:
-    return WORD.sub(lambda m: SWAP.get(m[0], m[0]), token)
+def swapper(identity: tuple[tuple[str, ...], ...] = IDENTITY) -> Callable[[str], str]:
+    """A token with its identity terms swapped; a term of two kinds is swapped in the first."""
+    swap = {w: kind[(i + 1) % len(kind)] for kind in reversed(identity) for i, w in enumerate(kind)}
+    return functools.lru_cache(maxsize=50_000)(lambda token: WORD.sub(lambda m: swap.get(m[0], m[0]), token))
 
 
-def features(text: str) -> tuple[np.ndarray, np.ndarray | None]:
+swapped = swapper()
+
+
+def features(text: str, swapped: Callable[[str], str] = swapped) -> tuple[np.ndarray, np.ndarray | None]:
     """(features of the text, those of its counterfactual or None if it names no group)."""
     tokens = set(text.lower().split())
     own = set(itertools.chain.from_iterable(map(token_features, tokens)))
@@ -137,7 +186,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray | None, int]], fairness: float =
     return {int(top[k]): float(w[k]) for k in np.flatnonzero(w[:-1])}, float(w[-1])
 
 
-def sample(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> list[tuple]:
+def sample(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, identity: tuple[tuple[str, ...], ...] = IDENTITY) -> list[tuple]:
     """Features and label of at most about ``most_rows`` labelled documents, for the driver."""
     one = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter("toxic IN (0, 1)")
     n = one.count()
@@ -146,8 +195,9 @@ def sample(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> li
     picked = hash_join(docs.select("doc_id", "text"), one, ["doc_id"], "inner", 50_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        swap = swapper(identity)
         for batch in batches:
-            found = [features(t) for t in texts_of(batch.column("text"))]
+            found = [features(t, swap) for t in texts_of(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic").cast(pa.int32()), pa.array([a.tobytes() for a, _ in found], pa.binary()), pa.array([None if b is None else b.tobytes() for _, b in found], pa.binary())], ["doc_id", "toxic", "own", "other"])
 
     rows = picked.mapInArrow(run, "doc_id long, toxic int, own binary, other binary").collect()  # bounded by most_rows
@@ -186,11 +236,12 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5 == 0
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row; only labels of rows that are not held out are learned from."""
+def toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, identity: tuple[tuple[str, ...], ...] = IDENTITY) -> DataFrame:
+    """(doc_id, held_out, score, predicted) for every row; only labels of rows that are not held out are learned from.
+    ``identity``: kinds of lower-case words, each swapped for the next of its kind; give those of the table's languages."""
     importable(docs.sparkSession)
     learn = labels.filter(~held_out(F.col("doc_id")))
-    rows = sample(docs, learn, most_rows)
+    rows = sample(docs, learn, most_rows, identity)
     weights, bias = fit(rows) if rows else ({}, -0.01)
     d = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), weights, bias)
     return d.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", F.expr("if(score >= 0.5, 1, 0)").alias("predicted"))

@@ -387,6 +387,19 @@ def test_toxicity(spark, odd, labels):
 # -- 8
 
 
+def test_counterfactuals_in_other_languages(spark):
+    for text in ("Die Frauen sind hier.", "los inmigrantes viven aquí", "des musulmans habitent ici", "two women met"):
+        there, other = toxicity.features(text)
+        assert other is not None and set(there) != set(other)
+    assert toxicity.features("das Wetter ist gut")[1] is None
+    assert all(len(set(kind)) == len(kind) > 1 and all(toxicity.WORD.fullmatch(w) and w == w.lower() for w in kind) for kind in toxicity.IDENTITY)
+    rows = [(i, ("türken " if i % 2 else "") + ("dumm " if i % 2 and i % 4 == 1 else "") + f"wort{i % 7}", "de", "a") for i in range(400)]
+    docs, labels = docs_of(spark, rows), spark.createDataFrame([(i, i % 2, i % 2) for i in range(400)], "doc_id long, quality int, toxic int")
+    docs = docs.union(docs_of(spark, [(1000, "türken wort1", "de", "a"), (1001, "polen wort1", "de", "a")]))
+    gap = lambda **k: abs(float(np.subtract(*(r.score for r in toxicity.toxicity(docs, labels, **k).filter("doc_id >= 1000").orderBy("doc_id").collect()))))
+    assert gap() < 0.1 < 0.5 < gap(identity=(("nord", "süd"),))
+
+
 def tune(n, seed, noise=0):
     g = np.random.default_rng(seed)
     phase = np.cumsum(np.repeat(2 * np.pi * 220 * 2 ** (g.integers(0, 36, n) / 12) / chroma.RATE, 900))
