@@ -13,11 +13,13 @@ over sources of a count that the due time alone decides. So no queue is sorted,
 third of all rows is spread over all tasks like the others.
 
 Defined results: null text is empty, so its document is the closing id alone; a null source is a queue of its own;
-repeated rows are packed each; an empty table gives no rows; more than ``most_queues`` sources share queues by hash.
+repeated rows are packed each; an empty table gives no rows; more than ``most_queues`` sources share queues by hash, and
+the mixture then holds for these queues, whose weights are the sums of their sources'.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -105,7 +107,15 @@ def pack(docs: DataFrame, weights: dict[str, float] | None = None, path: str = W
 
     names = rows.select("queue").distinct().limit(most_queues + 1).count()
     if names > most_queues:
-        rows = rows.withColumn("queue", F.expr(f"concat('h', pmod(xxhash64(queue), {most_queues}))"))
+        shared = F.expr(f"concat('h', pmod(xxhash64(queue), {most_queues}))")
+        if weights:
+            given = spark.createDataFrame([(k, float(w)) for k, w in weights.items()], "name string, weight double")
+            own = rows.select("queue").distinct().select(shared.alias("queue"), F.expr("substring(queue, 2)").alias("name")).join(given, "name", "left")
+            sums = own.groupBy("queue").agg(F.collect_list("weight").alias("w"), F.first(F.when(F.col("weight").isNull(), F.col("name")), True).alias("lacks")).collect()
+            if lacks := [r["lacks"] for r in sums if r["lacks"] is not None]:
+                raise KeyError(lacks[0])
+            weights = {r["queue"][1:]: math.fsum(r["w"]) for r in sums}
+        rows = rows.withColumn("queue", shared)
     tokens = written(rows.mapInArrow(encode, coded))
     sums = written(tokens.groupBy("queue", "part").agg(F.sum("n").alias("n")))  # a row for each queue and task
     queues = sorted((r["queue"], r["n"]) for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect())  # at most ``most_queues``

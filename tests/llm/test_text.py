@@ -312,6 +312,19 @@ def test_packing(spark, odd):
     assert packing.pack(nothing(odd)).count() == 0
 
 
+def test_weights_of_shared_queues(spark):
+    docs = docs_of(spark, [(i, f"text {i} " * 200, "en", f"s{i % 6}") for i in range(60)] + [(99, "last", "en", None)])
+    weights = {f"s{i}": 1.0 + i for i in range(6)} | {"": 0.5}
+    got = packing.pack(docs, weights, window=512, quantum=64, most_queues=2).collect()
+    check_packing(got, [r.text for r in docs.collect()], 512)
+    queue = {r.source: r.q for r in docs.selectExpr("source", "pmod(xxhash64(coalesce(concat('s', source), '')), 2) AS q").distinct().collect()}
+    share = [sum(w for k, w in weights.items() if queue[k or None] == q) for q in (0, 1)]
+    early = [sum(r.length for r in got if r.sequence_id < 8 and queue[r.source] == q) for q in (0, 1)]
+    assert all(share) and abs(early[0] - sum(early) * share[0] / sum(share)) <= 2 * 64
+    with pytest.raises(KeyError, match="s5"):
+        packing.pack(docs, {k: w for k, w in weights.items() if k != "s5"}, most_queues=2)
+
+
 def test_mixture_holds_in_every_window():
     rnd = np.random.default_rng(4)
     totals = np.array([50_000, 20_000, 7_000, 300], dtype=np.int64)
