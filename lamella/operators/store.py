@@ -41,6 +41,12 @@ class Options(NamedTuple):
     compression: str = "zstd"
 
 
+def was_applied(manifest: dict, batch_id: str) -> bool:
+    """By its id, or by its number, ``stream:number``, where a stream of that name has come as far."""
+    stream, _, number = batch_id.rpartition(":")
+    return batch_id in manifest["applied"] or (number.isdigit() and int(number) <= manifest.get("streams", {}).get(stream, -1))
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str, options: Options = Options()) -> None:  # noqa: B008
         if options.durability not in ("safe", "balanced", "fast"):
@@ -154,31 +160,36 @@ class Store:
             self._maybe_compact()
             return self.layer_count()
 
-    def put_df(self, df: DataFrame, batch_id: str | None = None) -> bool:
+    def put_df(self, df: DataFrame, batch_id: str | None = None, rising: bool = False) -> bool:
         """Upsert a DataFrame (key, value and perhaps ord; NULL deletes) as one layer. A ``batch_id`` that was applied before
-        is left out, so a repeated micro-batch does nothing; returns whether it was applied."""
+        is left out, so a repeated micro-batch does nothing; returns whether it was applied. Every id is kept; of a stream's
+        ids ``stream:number``, whose numbers are ``rising``, the greatest number alone, and lower ones count as applied."""
         self._open()
         with self._write:
-            if batch_id is not None and batch_id in self.manifests.newest()["applied"]:
+            if batch_id is not None and was_applied(self.manifests.newest(), batch_id):
                 return False
             self.flush()  # what was put before is older
-            applied = self._add(R.last_wins(validated(entries(self.spark, df))), None, None, batch_id)
+            applied = self._add(R.last_wins(validated(entries(self.spark, df))), None, None, batch_id, rising)
             self._maybe_compact()
             return applied
 
-    def _add(self, rows: DataFrame, expected: int | None, partitions: int | None, batch_id: str | None = None) -> bool:
+    def _add(self, rows: DataFrame, expected: int | None, partitions: int | None, batch_id: str | None = None, rising: bool = False) -> bool:
         name = f"layers/{uuid.uuid4().hex}"
         table = store_sorted(self.spark, f"{self.path}/{name}", rows, self.options.compression, expected, partitions)
         fresh = True
 
         def change(m: dict) -> dict | None:
             nonlocal fresh
-            if batch_id is not None and batch_id in m["applied"]:
+            if batch_id is not None and was_applied(m, batch_id):
                 fresh = False
                 return None
             m["layers"].append({"seq": m["next_seq"], "path": name, **table.meta.as_json()})
             m["next_seq"] += 1
-            m["applied"] = [*m["applied"], *([batch_id] if batch_id is not None else [])][-10_000:]
+            if batch_id is not None and rising:
+                stream, _, number = batch_id.rpartition(":")
+                m["streams"] = m.get("streams", {}) | {stream: int(number)}
+            elif batch_id is not None:
+                m["applied"] = [*m["applied"], batch_id]
             return m
 
         self.manifests.commit(change)

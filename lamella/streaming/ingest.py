@@ -16,6 +16,6 @@ def ingest(stream: DataFrame, store: Store, checkpoint: str, name: str = "ingest
     """
 
     def put(batch: DataFrame, number: int) -> None:
-        store.put_df(batch, f"{name}:{number}")
+        store.put_df(batch, f"{name}:{number}", rising=True)
 
     return stream.writeStream.queryName(name).foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

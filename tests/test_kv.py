@@ -234,6 +234,21 @@ def test_stream_equals_batch(spark, tmp_path):
         assert not s.put_df(M.entries(spark, {"k": "again"}), "ingest:0") and s.layer_count() == 3
 
 
+def test_old_batches_stay_applied(spark, tmp_path):
+    with Store(spark, f"{tmp_path}/s", Options(compact_threshold=0)) as s:
+        put = lambda v, *a, **k: s.put_df(M.entries(spark, {"k": v}), *a, **k)
+        assert put("1", "slow:0", rising=True) and put("1", "load:7") and put("1", "load:5")
+
+        def aged(m):  # as after very many batches of another stream and loads
+            m["applied"] = [*m["applied"], *(f"x{i}" for i in range(10_001))]
+            return m
+
+        s.manifests.commit(aged)
+        assert put("2", "fast:10001", rising=True) and put("3")
+        assert not any((put("4", "slow:0", rising=True), put("4", "fast:17", rising=True), put("4", "load:7"), put("4", "x0")))
+        assert put("5", "slow:1", rising=True) and put("6", "load:6") and s.get("k") == b"6"
+
+
 def test_cli(spark, tmp_path):
     write_table(spark, f"{tmp_path}/t", [*((f"key:{i:06}", f"value-of-{i}") for i in range(120)), ("gone", None), ("long", "x" * 300)])
 
