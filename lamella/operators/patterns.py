@@ -24,15 +24,18 @@ def increments(changes: DataFrame, live: DataFrame | None = None) -> DataFrame:
 
 
 def chunked(blobs: DataFrame, size: int, digits: int = 5) -> DataFrame:
-    """(name, value) as entries ``name:00000``, ``name:00001``, ... of at most ``size`` bytes; an empty value is one chunk."""
+    """(name, value) as entries ``name:00000``, ``name:00001``, ... of at most ``size`` bytes; an empty value is one chunk.
+    From chunk 10^digits on the number is longer, so keys stay different, but no longer sort by number."""
     n = F.greatest(F.lit(1), F.ceil(F.length("value") / size)).cast("int")
     rows = blobs.select("name", "value", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
-    return rows.select(F.concat("name", F.lit(":"), F.lpad(F.col("i").cast("string"), digits, "0")).cast("binary").alias("key"), F.expr(f"substring(value, i * {size} + 1, {size})").alias("value"))
+    number = F.col("i").cast("string")
+    return rows.select(F.concat("name", F.lit(":"), F.lpad(number, F.greatest(F.lit(digits), F.length(number)), F.lit("0"))).cast("binary").alias("key"), F.expr(f"substring(value, i * {size} + 1, {size})").alias("value"))
 
 
-def reassembled(chunks: DataFrame, digits: int = 5) -> DataFrame:
-    """(name, value) from such entries; chunks of a name meet in key order."""
+def reassembled(chunks: DataFrame) -> DataFrame:
+    """(name, value) from such entries; chunks of a name meet in the order of their numbers, which stand after the last colon."""
     text = F.col("key").cast("string")
-    cut = chunks.select(F.expr(f"left(cast(key AS string), length(cast(key AS string)) - {digits + 1})").alias("name"), text.alias("at"), "value")
+    number = F.substring_index(text, ":", -1)
+    cut = chunks.select(F.left(text, F.length(text) - F.length(number) - 1).alias("name"), number.cast("int").alias("at"), "value")
     parts = F.array_sort(F.collect_list(F.struct("at", F.hex("value").alias("h"))))
     return cut.groupBy("name").agg(F.unhex(F.array_join(F.transform(parts, lambda x: x["h"]), "")).alias("value"))

@@ -224,6 +224,13 @@ def test_patterns(spark):
     assert chunks.count() == 4 and {r["name"]: bytes(r["value"]) for r in P.reassembled(chunks).collect()} == {"v": data, "e": b""}
 
 
+def test_chunks_beyond_the_digits(spark):
+    data = bytes(random.Random(2).randbytes(1234))
+    chunks = P.chunked(spark.createDataFrame([("a:b", bytearray(data)), ("c", bytearray(data[:50]))], "name string, value binary"), 1, digits=2)
+    assert chunks.select("key").distinct().count() == 1284
+    assert {r["name"]: bytes(r["value"]) for r in P.reassembled(chunks.orderBy(F.rand(1))).collect()} == {"a:b": data, "c": data[:50]}
+
+
 def test_stream_equals_batch(spark, tmp_path):
     for i in range(3):
         M.entries(spark, {"k": f"v{i}", f"k{i}": None if i == 1 else "x"}).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
