@@ -35,8 +35,16 @@ class Rule(NamedTuple):
     #: the group whose length counts (0: the match), and the least number of characters
     group: int = 0
     least: int = 1
+    #: what a match takes in besides, where it follows; it may be empty and has no part in finding matches
+    tail: str = ""
 
 
+# A private key behind its header: lines of an encrypted one, then all that a body can hold up to the END line, or without such
+# a line the runs of base64 as far as they go, the first of 16 or more; line ends may be spaces or written out as escapes.
+BODY = (
+    r"([\x20\t\r\n\\rn]*(Proc-Type:\x20*4,ENCRYPTED|DEK-Info:\x20*[A-Z0-9-]+,[A-Fa-f0-9]+))*"
+    r"([A-Za-z0-9+/=\x20\t\r\n\\]*-----END\x20[A-Z\x20]*PRIVATE\x20KEY-----|[\x20\t\r\n\\]*[A-Za-z0-9+/=]{16,}([\x20\t\r\n\\]+[A-Za-z0-9+/=]{16,})*([\x20\t\r\n\\]+[A-Za-z0-9+/=]{1,15})?)?"
+)
 # The three base rules, in their fixed order. A run of hexadecimal digits is matched from 24 on, which
 # for a single class equals matching any run and dropping the short ones, and keeps prose from ending matches.
 BASE = (
@@ -44,11 +52,11 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]{24,}", 0, 24),
 )
-#: What the combined automaton adds at no further pass: forge and chat tokens, private-key headers.
+#: What the combined automaton adds at no further pass: forge and chat tokens, private keys.
 ADDED = (
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", tail=BODY),
 )
 RULES = BASE + ADDED
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -56,7 +64,7 @@ SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struc
 
 @functools.lru_cache(maxsize=4)
 def compiled(rules: tuple[Rule, ...]) -> tuple:
-    return Dfa([r.pattern for r in rules], False), [(Dfa([r.pattern], True), Dfa([r.pattern], True, back=True), re.compile(r.pattern, re.A)) for r in rules]
+    return Dfa([r.pattern for r in rules], False), [(Dfa([r.pattern + r.tail], True), Dfa([r.pattern], True, back=True), re.compile(r.pattern + r.tail, re.A)) for r in rules]
 
 
 def matches(texts: list[bytes], rules: tuple[Rule, ...] = RULES) -> list[list[tuple[int, int, int]]]:

@@ -219,6 +219,21 @@ def test_secrets(spark, odd):
     assert secret_scan.scan(nothing(odd)).count() == 0 and secret_scan.redact(nothing(odd)).count() == 0
 
 
+def test_private_keys_go_whole(spark):
+    rnd = random.Random(5)
+    line = lambda n=64: "".join(rnd.choice("ABCXYZabcxyz0189+/") for _ in range(n))
+    body = [line() for _ in range(25)] + [line(9) + "="]
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    enc = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123ABCDEF\n\n"
+    keys = ["\n".join([head, *body, end]), "\r\n".join([head, *body, end]), "\\n".join([head, *body, end]), " ".join([head, *body, end]), head + "".join(body) + end]
+    keys += [head + "\n" + enc + "\n".join([*body, end]), "\n".join([head, line(10), line(10), end]), "\n".join([head, *body]), "\n".join([head, *body[:7], line(30)])]
+    rows = [(i, f"é before\n{k}\n- after", "en", "a") for i, k in enumerate(keys)] + [(90, f"é before\n{head}\nis a header, - after", "en", "a"), (91, f"{keys[0]}\n{keys[0]}", "en", "a")]
+    got = {r.doc_id: r.text for r in secret_scan.redact(docs_of(spark, rows)).collect()}
+    assert all(got[i] == "é before\n[SECRET]\n- after" for i in range(len(keys)))
+    assert got[90] == "é before\n[SECRET]\nis a header, - after" and got[91] == "[SECRET]\n[SECRET]"
+    assert secret_scan.matches([(head + "A" * 500_000).encode()]) == [[(0, len(head) + 500_000, 5)]]
+
+
 def test_automaton_refuses_what_it_cannot_read():
     for p in (r"a*?b", r"(?=a)b", r"[^a]", "é"):
         with pytest.raises(ValueError, match="may not|ASCII"):
