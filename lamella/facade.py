@@ -41,6 +41,10 @@ class Lamella:
     def has(self, key: str | bytes) -> bool:
         return self.inner.has(key)
 
+    def multi_get(self, keys: DataFrame) -> DataFrame:
+        """``keys`` (key, other columns) with found, value, text and json: one bulk look-up."""
+        return decoded(self.inner.multi_get(keys))
+
     def delete(self, *keys: str | bytes) -> None:
         self.inner.delete(keys)
 

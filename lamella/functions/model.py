@@ -40,9 +40,9 @@ def pairs_of(data: Mapping | Iterable) -> list[tuple[bytes, bytes | None]]:
 
 
 def entries(spark: SparkSession, data: DataFrame | Mapping | Iterable) -> DataFrame:
-    """(key, value, ord) of anything ``pairs_of`` takes, or of a DataFrame with key, value and perhaps ord."""
+    """(key, value, ord) of anything ``pairs_of`` takes, or of a DataFrame with key, value and perhaps ord, which is null without."""
     if isinstance(data, DataFrame):
-        order = F.col("ord").cast("long") if "ord" in data.columns else F.lit(0).cast("long")
+        order = F.col("ord").cast("long") if "ord" in data.columns else F.lit(None).cast("long")
         return data.select(F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), order.alias("ord"))
     rows = [(bytearray(k), None if v is None else bytearray(v), i) for i, (k, v) in enumerate(pairs_of(data))]
     return spark.createDataFrame(rows, T.StructType([*ENTRY.fields, T.StructField("ord", T.LongType(), False)]))
@@ -93,10 +93,13 @@ def decode_value(raw: bytes | None) -> object:
 
 
 def padded(number: Column, width: int) -> Column:
-    """Numbers as keys that sort by value: decimal, filled with zeros."""
-    return F.lpad(number.cast("string"), width, "0").cast("binary")
+    """Numbers as keys that sort by value: decimal, filled with zeros. A negative number, or one of more digits, fails the run."""
+    digits = number.cast("string")
+    bad = F.raise_error(F.concat(F.lit(f"a number does not fit in {width} digits: "), digits))
+    return F.when((number < 0) | (F.length(digits) > width), bad).otherwise(F.lpad(digits, width, "0")).cast("binary")
 
 
 def big_endian(number: Column) -> Column:
-    """Non-negative numbers as eight bytes, greatest first."""
-    return F.unhex(F.lpad(F.hex(number.cast("long")), 16, "0"))
+    """Non-negative numbers as eight bytes, greatest first. A negative number fails the run."""
+    n = number.cast("long")
+    return F.when(n < 0, F.raise_error(F.concat(F.lit("a number is negative: "), n.cast("string")))).otherwise(F.unhex(F.lpad(F.hex(n), 16, "0")))

@@ -33,9 +33,10 @@ def chunked(blobs: DataFrame, size: int, digits: int = 5) -> DataFrame:
 
 
 def reassembled(chunks: DataFrame) -> DataFrame:
-    """(name, value) from such entries; chunks of a name meet in the order of their numbers, which stand after the last colon."""
-    text = F.col("key").cast("string")
-    number = F.substring_index(text, ":", -1)
-    cut = chunks.select(F.left(text, F.length(text) - F.length(number) - 1).alias("name"), number.cast("int").alias("at"), "value")
-    parts = F.array_sort(F.collect_list(F.struct("at", F.hex("value").alias("h"))))
-    return cut.groupBy("name").agg(F.unhex(F.array_join(F.transform(parts, lambda x: x["h"]), "")).alias("value"))
+    """(name, value) from such entries; chunks of a name meet in the order of their numbers, which stand after the last colon.
+    Bytes stay as they are, in names and values; only the number is read as text."""
+    number = F.substring_index(F.col("key").cast("string"), ":", -1)  # bytes before the last colon are only passed over
+    name = F.expr("substring(key, 1, octet_length(key) - octet_length(_number) - 1)")
+    cut = chunks.withColumn("_number", number).select(name.cast("string").alias("name"), F.col("_number").cast("int").alias("at"), "value")
+    parts = F.array_sort(F.collect_list(F.struct("at", F.col("value").cast("string").alias("v"))))  # the cast keeps every byte
+    return cut.groupBy("name").agg(F.array_join(F.transform(parts, lambda x: x["v"]), "").cast("binary").alias("value"))

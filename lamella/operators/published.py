@@ -5,14 +5,13 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from lamella.operators import resolve as R
 from lamella.operators.store import Options, Store
-from lamella.sources.files import Files
+from lamella.sources.files import Files, sealed, unsealed
 from lamella.sources.table import Table, store_sorted
 
 
@@ -24,9 +23,10 @@ class Published:
         self.files.make(self.side)
         self.store = Store(spark, self.side, options)
         if seed:  # a table was brought along without its side directory: it is the oldest layer
-            self.store.put_df(self.snapshot().raw)
+            self.store.put_df(self.snapshot().raw, unique=True)
         self.put, self.delete, self.get, self.get_utf8, self.has = self.store.put, self.store.delete, self.store.get, self.store.get_utf8, self.store.has
         self.scan, self.seek, self.range, self.prefix = self.store.scan, self.store.seek, self.store.range, self.store.prefix
+        self.multi_get, self.multi_has = self.store.multi_get, self.store.multi_has
 
     def __iter__(self):
         return iter(self.store)
@@ -34,10 +34,8 @@ class Published:
     def pointer(self) -> str | None:
         names = [n for n in self.files.names(self.path) if n.startswith("save-") and n.endswith(".json")]
         for n in reversed(names):
-            try:
-                return self.files.read_json(f"{self.path}/{n}")["table"]
-            except ValueError:
-                continue  # a save that never finished
+            if said := unsealed(self.files.read(f"{self.path}/{n}"), n):
+                return said["table"]  # one that is cut off is a save that never finished
         return None
 
     def snapshot(self) -> Table:
@@ -54,7 +52,7 @@ class Published:
         name = f"table-{uuid.uuid4().hex}"
         table = store_sorted(self.spark, f"{self.path}/{name}", R.resolve(self.store.raw_log(), keep_tombstones=True), self.store.options.compression)
         n = len([x for x in self.files.names(self.path) if x.startswith("save-")])
-        while not self.files.create(f"{self.path}/save-{n:010d}.json", json.dumps({"table": name}).encode()):
+        while not self.files.create(f"{self.path}/save-{n:010d}.json", sealed({"table": name})):
             n += 1
         return table
 

@@ -48,8 +48,17 @@ def merge(tables: list[DataFrame]) -> DataFrame:
 
 
 def last_wins(df: DataFrame) -> DataFrame:
-    """(key, value) of a batch (key, value, ord): the last row of each key."""
-    return df.groupBy("key").agg(F.max_by("value", "ord").alias("value"))
+    """(key, value) of a batch (key, value, ord): the last row of each key; of rows equal in ``ord`` too, the greatest value, with a
+    deletion below all. A key that occurs twice without an ``ord`` has no last row, and the run fails."""
+    x = df.groupBy("key").agg(F.max_by("value", F.struct("ord", "value")).alias("value"), F.count(F.lit(1)).alias("n"), F.count("ord").alias("ranked"))
+    said = F.raise_error(F.concat(F.lit("a key occurs twice in a batch without ord: "), F.hex("key")))
+    return x.select("key", F.when((F.col("n") > 1) & (F.col("ranked") < F.col("n")), said).otherwise(F.col("value")).alias("value"))
+
+
+def unique(df: DataFrame) -> DataFrame:
+    """(key, value), failing when it runs on a key that occurs twice."""
+    x = df.groupBy("key").agg(F.max_by("value", F.lit(1)).alias("value"), F.count(F.lit(1)).alias("n"))
+    return x.select("key", F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("a key occurs twice: "), F.hex("key")))).otherwise(F.col("value")).alias("value"))
 
 
 def scan(view: DataFrame, start: str | bytes | None = None, end: str | bytes | None = None, prefix: str | bytes | None = None, ordered: bool = True) -> DataFrame:
@@ -68,14 +77,39 @@ def get_entry(raw: DataFrame, key: str | bytes) -> DataFrame:
     return one.select(F.lit(bytearray(to_bytes(key))).alias("key"), (F.col("n") > 0).alias("found"), ((F.col("n") > 0) & F.col("value").isNull()).alias("deleted"), "value")
 
 
+#: Up to so many keys, of so many bytes together, a look-up sends them to every task; beyond, both sides are exchanged by key.
+SENT_KEYS, SENT_BYTES = 200_000, 16 << 20
+
+
+class Wanted:
+    """The different keys of a bulk look-up: their bounds, and a filter for anything with a column ``key``."""
+
+    def __init__(self, keys: DataFrame) -> None:
+        self.keys = keys.select("key").filter("key IS NOT NULL").distinct()
+        x = keys.agg(F.count("key"), F.coalesce(F.sum(F.length("key")), F.lit(0)), F.hex(F.min("key")), F.hex(F.max("key"))).first()
+        self.low, self.high = (None, None) if x[2] is None else (bytes.fromhex(x[2]), bytes.fromhex(x[3]) + b"\0")
+        self.none, self.few = x[2] is None, x[0] <= SENT_KEYS and x[1] <= SENT_BYTES
+
+    def of(self, rows: DataFrame) -> DataFrame:
+        """Rows of the keys. As a filter of ``key`` it may stand below ``resolve``: its bounds reach the scan, and with few keys
+        nothing but their rows is exchanged; else rows are exchanged by key once, which grouping by key then uses."""
+        if self.none:
+            return rows.filter(F.lit(False))
+        return rows.filter(within(self.low, self.high)).join(F.broadcast(self.keys) if self.few else self.keys, "key", "left_semi")
+
+
 def multi_get(live: DataFrame, keys: DataFrame) -> DataFrame:
-    """``keys`` (key, other columns) with ``found`` and ``value``. The optimiser broadcasts the smaller side if its size allows, else both are shuffled."""
-    return keys.join(live.select("key", "value"), "key", "left").withColumn("found", F.col("value").isNotNull())
+    """``keys`` (key, other columns) with ``found`` and ``value``."""
+    return answered(Wanted(keys).of(live.select("key", "value")), keys)
+
+
+def answered(found: DataFrame, keys: DataFrame) -> DataFrame:
+    return keys.drop("value", "found").join(found, "key", "left").withColumn("found", F.col("value").isNotNull())
 
 
 def multi_has(live: DataFrame, keys: DataFrame) -> DataFrame:
-    return keys.join(live, "key", "left_semi")
+    return keys.join(Wanted(keys).of(live.select("key")), "key", "left_semi")
 
 
 def missing(live: DataFrame, keys: DataFrame) -> DataFrame:
-    return keys.join(live, "key", "left_anti")
+    return keys.join(Wanted(keys).of(live.select("key")), "key", "left_anti")

@@ -9,12 +9,10 @@ from __future__ import annotations
 
 import base64
 import fcntl
-import json
 import os
 import threading
 import time
 import uuid
-import zlib
 from collections.abc import Iterable, Mapping
 from typing import NamedTuple
 
@@ -25,14 +23,14 @@ from lamella.functions.bounds import bounds, touches
 from lamella.functions.model import LOG, check_entry, entries, pairs_of, to_bytes, validated
 from lamella.operators import resolve as R
 from lamella.operators.compaction import tier_or_all
-from lamella.sources.files import Files
+from lamella.sources.files import Corrupt, Files, sealed, unsealed
 from lamella.sources.manifest import Manifests
 from lamella.sources.table import Meta, Table, store_sorted, text_or_none
 
 
 class Options(NamedTuple):
-    """``compact_threshold`` 0: never by itself. ``durability``: ``safe`` logs each put before it returns, ``balanced`` every
-    ``sync_seconds``, ``fast`` at a flush only."""
+    """``compact_threshold`` 0: never by itself. ``durability``: ``safe`` has each put on disk before it returns, ``balanced``
+    at most ``sync_seconds`` later, whether or not another put follows, ``fast`` at a flush or at the close only."""
 
     compact_threshold: int = 8
     flush_entries: int = 4096
@@ -58,7 +56,9 @@ class Store:
         self.manifests = Manifests(spark, self.path)
         self.memtable: dict[bytes, bytes | None] = {}
         self._unlogged: list[tuple[bytes, bytes | None]] = []
-        self._logged_at = 0.0
+        self._log_number = 0
+        self._timer: threading.Timer | None = None
+        self._log_error: BaseException | None = None
         self._write = threading.RLock()
         self._merging: threading.Thread | None = None
         self._merge_error: BaseException | None = None
@@ -81,26 +81,34 @@ class Store:
         return f
 
     def _replay(self) -> None:
-        """Batches of the log that are whole, in order, up to the first that is not; each batch counts entirely or not at all."""
-        for name in [n for n in self.files.names(f"{self.path}/log") if n.endswith(".json")]:
+        """Batches of the log that are whole, in order, up to the first that is not; each batch counts entirely or not at all. What
+        was cut off goes, so that nothing that is put from now on stands behind it."""
+        names = [n for n in self.files.names(f"{self.path}/log") if n.endswith(".json") and n[:-5].isdigit()]
+        for i, name in enumerate(names):
             try:
-                said = self.files.read_json(f"{self.path}/log/{name}")
-                good = zlib.crc32(said["rows"].encode()) == said["crc"]
-            except (ValueError, KeyError, TypeError):
-                good = False
-            if not good:
+                said = unsealed(self.files.read(f"{self.path}/log/{name}"), name)
+            except (Corrupt, ValueError):
+                said = None
+            if said is None:
+                for rest in names[i:]:
+                    self.files.remove(f"{self.path}/log/{rest}")
                 break
-            for k, v in json.loads(said["rows"]):
+            self._log_number = int(name[:-5])
+            for k, v in said["rows"]:
                 self.memtable[base64.b64decode(k)] = None if v is None else base64.b64decode(v)
 
     def close(self) -> None:
         if self.closed:
             return
-        self.wait()
-        self._log(force=True)
-        self.closed = True
-        if self._lock_file:
-            self._lock_file.close()
+        try:
+            self.wait()
+            self._log(force=True)
+        finally:
+            if self._timer:
+                self._timer.cancel()
+            self.closed = True
+            if self._lock_file:
+                self._lock_file.close()
 
     def __enter__(self) -> Store:
         return self
@@ -111,6 +119,9 @@ class Store:
     def _open(self) -> None:
         if self.closed:
             raise RuntimeError("the store is closed")
+        if self._log_error:
+            e, self._log_error = self._log_error, None
+            raise RuntimeError("what was put before could not be logged") from e
 
     # -- writing
 
@@ -130,20 +141,41 @@ class Store:
             return
         with self._write:
             self._unlogged += rows
-            self._log()
+            try:
+                self._log()
+            except BaseException:
+                del self._unlogged[-len(rows) :]  # the batch counts entirely or not at all
+                raise
             self.memtable.update(rows)
             if len(self.memtable) >= self.options.flush_entries:
                 self.flush()
 
     def _log(self, force: bool = False) -> None:
-        kind = self.options.durability
-        due = force or kind == "safe" or (kind == "balanced" and time.time() - self._logged_at >= self.options.sync_seconds)
-        if self._unlogged and due:
-            code = lambda x: None if x is None else base64.b64encode(x).decode()
-            rows = json.dumps([[code(k), code(v)] for k, v in self._unlogged])
-            if not self.files.create(f"{self.path}/log/{time.time_ns():020d}.json", json.dumps({"crc": zlib.crc32(rows.encode()), "rows": rows}).encode()):
-                raise RuntimeError("the log's next file is there already")
-            self._unlogged, self._logged_at = [], time.time()
+        """Write what is not in the log yet, now or, if ``balanced``, when the timer runs out. Files are named by a counter, so their
+        order is that of the puts, whatever the clock does."""
+        with self._write:
+            if not self._unlogged:
+                return
+            if force or self.options.durability == "safe":
+                code = lambda x: None if x is None else base64.b64encode(x).decode()
+                name = f"{self.path}/log/{self._log_number + 1:020d}.json"
+                if not self.files.create(name, sealed({"rows": [[code(k), code(v)] for k, v in self._unlogged]})):
+                    raise RuntimeError("the log's next file is there already")
+                self._log_number += 1
+                self._unlogged = []
+            elif self.options.durability == "balanced" and self._timer is None:
+                self._timer = threading.Timer(self.options.sync_seconds, self._tick)
+                self._timer.daemon = True
+                self._timer.start()
+
+    def _tick(self) -> None:
+        with self._write:
+            self._timer = None
+            try:
+                if not self.closed:
+                    self._log(force=True)
+            except BaseException as e:  # noqa: BLE001  told by the next call
+                self._log_error = e
 
     def flush(self) -> int:
         """Make a layer of what is in memory; returns the number of layers. The view has every entry all the time: memory is emptied
@@ -152,16 +184,17 @@ class Store:
         with self._write:
             if self.memtable:
                 rows = dict(self.memtable)
-                done = [n for n in self.files.names(f"{self.path}/log")]
-                self._add(entries(self.spark, rows).select("key", "value"), len(rows), 1)
+                done = self.files.names(f"{self.path}/log")
+                self._add(entries(self.spark, rows).select("key", "value"), 1)
                 self.memtable, self._unlogged = {}, []
                 for n in done:
                     self.files.remove(f"{self.path}/log/{n}")
             self._maybe_compact()
             return self.layer_count()
 
-    def put_df(self, df: DataFrame, batch_id: str | None = None, rising: bool = False) -> bool:
-        """Upsert a DataFrame (key, value and perhaps ord; NULL deletes) as one layer. A ``batch_id`` that was applied before
+    def put_df(self, df: DataFrame, batch_id: str | None = None, rising: bool = False, unique: bool = False) -> bool:
+        """Upsert a DataFrame (key, value and perhaps ord; NULL deletes) as one layer; a key that occurs twice needs ``ord``. ``unique``
+        promises that none does, and spares an exchange. A ``batch_id`` that was applied before
         is left out, so a repeated micro-batch does nothing; returns whether it was applied. Every id is kept; of a stream's
         ids ``stream:number``, whose numbers are ``rising``, the greatest number alone, and lower ones count as applied."""
         self._open()
@@ -169,13 +202,14 @@ class Store:
             if batch_id is not None and was_applied(self.manifests.newest(), batch_id):
                 return False
             self.flush()  # what was put before is older
-            applied = self._add(R.last_wins(validated(entries(self.spark, df))), None, None, batch_id, rising)
+            rows = validated(entries(self.spark, df))
+            applied = self._add(rows.select("key", "value"), None, batch_id, rising, R.unique) if unique else self._add(R.last_wins(rows), None, batch_id, rising)
             self._maybe_compact()
             return applied
 
-    def _add(self, rows: DataFrame, expected: int | None, partitions: int | None, batch_id: str | None = None, rising: bool = False) -> bool:
+    def _add(self, rows: DataFrame, partitions: int | None, batch_id: str | None = None, rising: bool = False, within=None) -> bool:
         name = f"layers/{uuid.uuid4().hex}"
-        table = store_sorted(self.spark, f"{self.path}/{name}", rows, self.options.compression, expected, partitions)
+        table = store_sorted(self.spark, f"{self.path}/{name}", rows, self.options.compression, partitions, within)
         fresh = True
 
         def change(m: dict) -> dict | None:
@@ -183,7 +217,7 @@ class Store:
             if batch_id is not None and was_applied(m, batch_id):
                 fresh = False
                 return None
-            m["layers"].append({"seq": m["next_seq"], "path": name, **table.meta.as_json()})
+            m["layers"].append({"seq": m["next_seq"], "first": m["next_seq"], "path": name, **table.meta.as_json()})
             m["next_seq"] += 1
             if batch_id is not None and rising:
                 stream, _, number = batch_id.rpartition(":")
@@ -213,10 +247,20 @@ class Store:
             log = log.union(rows.select("key", "value", F.lit(m["next_seq"]).cast("long").alias("seq"), F.lit(0).cast("long").alias("ord")))
         return log
 
-    def view(self, keep_tombstones: bool = False) -> DataFrame:
-        """The newest entry of every key, of one pinned version."""
+    def view(self, keep_tombstones: bool = False, version: int | None = None) -> DataFrame:
+        """The newest entry of every key, of one pinned version: the newest with what is in memory, or a committed one by its number."""
         self._open()
-        return R.resolve(self.raw_log(), keep_tombstones)
+        return R.resolve(self.raw_log() if version is None else self.raw_log(self._version(version), memory=False), keep_tombstones)
+
+    def versions(self) -> list[int]:
+        """The committed versions that can be read."""
+        return [v for v in self.manifests.versions() if self.manifests.read(v)]
+
+    def _version(self, version: int) -> dict:
+        m = self.manifests.read(version) if version in self.manifests.versions() else None
+        if m is None:
+            raise ValueError(f"version {version} is not kept")
+        return m
 
     def get_entry(self, key: str | bytes) -> tuple[bool, bytes | None]:
         self._open()
@@ -236,7 +280,17 @@ class Store:
         return self.get(key) is not None
 
     def multi_get(self, keys: DataFrame) -> DataFrame:
-        return R.multi_get(self.view(), keys)
+        """``keys`` (key, other columns) with ``found`` and ``value``. Only layers that the keys' bounds touch are opened, and only rows
+        of these keys are resolved."""
+        self._open()
+        return R.answered(self._of(R.Wanted(keys)), keys)
+
+    def multi_has(self, keys: DataFrame) -> DataFrame:
+        self._open()
+        return keys.join(self._of(R.Wanted(keys)).select("key"), "key", "left_semi")
+
+    def _of(self, wanted: R.Wanted) -> DataFrame:
+        return R.resolve(wanted.of(self.raw_log(low=wanted.low, high=wanted.high)))
 
     def scan(self, start=None, end=None, prefix=None, ordered: bool = True) -> DataFrame:
         """Live entries of a seek, range or prefix; layers outside it are not opened."""
@@ -263,9 +317,19 @@ class Store:
     def memtable_len(self) -> int:
         return len(self.memtable)
 
+    def next_seq(self) -> int:
+        """The number that the next layer gets."""
+        return self.manifests.newest()["next_seq"]
+
     def as_of(self, seq: int) -> DataFrame:
-        """The live view of the layers up to ``seq``, as far as they have not been merged with newer ones."""
-        return R.resolve(self.raw_log(memory=False).filter(F.col("seq") <= seq))
+        """The live view as it was when layer ``seq`` was the newest, exact: from the newest version that is kept in which no layer mixes
+        writes up to ``seq`` with later ones. Raises ValueError if there is none any more (``vacuum`` removes old versions)."""
+        self._open()
+        for v in reversed(self.manifests.versions()):
+            m = self.manifests.read(v)
+            if m and m["next_seq"] > seq and not any(x["first"] <= seq < x["seq"] for x in m["layers"]):
+                return R.resolve(self.raw_log(m | {"layers": [x for x in m["layers"] if x["seq"] <= seq]}, memory=False))
+        raise ValueError(f"layer {seq} was merged with newer ones, and no version from before is kept" if seq < self.next_seq() else f"there is no layer {seq} yet")
 
     # -- compaction
 
@@ -306,9 +370,9 @@ class Store:
         """Replace neighbouring layers by one with the greatest of their numbers, so layers that were added meanwhile stay newer."""
         name = f"layers/{uuid.uuid4().hex}"
         log = R.stacked([Table(self.spark, f"{self.path}/{x['path']}").raw for x in layers])
-        table = store_sorted(self.spark, f"{self.path}/{name}", log, self.options.compression, sum(x["rows"] for x in layers), layers=True)
+        table = store_sorted(self.spark, f"{self.path}/{name}", log, self.options.compression, None, lambda rows: R.resolve(rows, keep_tombstones=True))
         gone = {x["path"] for x in layers}
-        new = {"seq": max(x["seq"] for x in layers), "path": name, **table.meta.as_json()}
+        new = {"seq": max(x["seq"] for x in layers), "first": min(x["first"] for x in layers), "path": name, **table.meta.as_json()}
         done = False
 
         def change(m: dict) -> dict | None:
@@ -338,13 +402,23 @@ class Store:
                 self._merge(layers)
             return self.layer_count()
 
-    def vacuum(self, keep_versions: int = 1) -> int:
-        """Remove layers that none of the newest ``keep_versions`` versions names; returns how many went."""
-        kept = self.manifests.versions()[-keep_versions:]
-        used = {x["path"] for v in kept if (m := self.manifests.read(v)) for x in m["layers"]}
-        gone = [n for n in self.files.names(f"{self.path}/layers") if f"layers/{n}" not in used]
-        for n in gone:
-            self.files.remove(f"{self.path}/layers/{n}")
-        for v in self.manifests.versions()[:-keep_versions]:
-            self.files.remove(f"{self.manifests.dir}/{v:010d}.json")
-        return len(gone)
+    def vacuum(self, keep_versions: int = 1, spare_seconds: float | None = None) -> int:
+        """Remove layers that none of the newest ``keep_versions`` versions names; returns how many went.
+
+        It waits for a merge and holds back writes, so nothing that this store is about to commit goes. Where other writers are not kept
+        out by a lock, folders that changed in the last ``spare_seconds`` stay (a day by default), as they may be about to be committed.
+        """
+        self._open()
+        spare = (0 if self._lock_file else 86_400) if spare_seconds is None else spare_seconds
+        with self._write:
+            self.wait()
+            kept = self.versions()[-keep_versions:]
+            used = {x["path"] for v in kept for x in self.manifests.read(v)["layers"]}
+            gone = [n for n in self.files.names(f"{self.path}/layers") if f"layers/{n}" not in used]
+            gone = [n for n in gone if not spare or self.files.changed(f"{self.path}/layers/{n}") < time.time() - spare]
+            for v in self.manifests.versions():
+                if kept and v < kept[0]:
+                    self.files.remove(f"{self.manifests.dir}/{v:010d}.json")
+            for n in gone:
+                self.files.remove(f"{self.path}/layers/{n}")
+            return len(gone)

@@ -207,9 +207,10 @@ def dump_limit(spark, sf_dir):
     return said(built(spark, sf_dir).seek("order:00000002").limit(100))
 
 
-@query(f"WITH {OKV_SQL} SELECT k AS key FROM okv ORDER BY k LIMIT 100")
+@query(f"WITH {OKV_SQL} SELECT k AS key FROM okv")
 def dump_keys_only(spark, sf_dir):
-    return built(spark, sf_dir).scan(ordered=False).select("key").orderBy("key").limit(100).select(F.col("key").cast("string").alias("key"))
+    """All keys: the values' column is not read."""
+    return built(spark, sf_dir).scan(ordered=False).select("key").orderBy("key").select(F.col("key").cast("string").alias("key"))
 
 
 # -- builds and merges
@@ -399,3 +400,163 @@ def store_put_compact_view(spark, sf_dir):
     table = inner.save()
     inner.close()
     return said(table.live)
+
+
+# -- through a store: what is written by puts, deletes, flushes and merges, read back
+
+
+def store_of(spark: SparkSession, threshold: int = 0):
+    from lamella.operators.store import Options, Store
+
+    return Store(spark, shared_path(spark), Options(compact_threshold=threshold))
+
+
+def cuts_of(spark: SparkSession, sf_dir: str, n: int) -> list[DataFrame]:
+    """The log in ``n`` batches by its order, as a store takes them."""
+    log = log_of(spark, sf_dir)
+    each = read(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] // n + 1
+    return [log.filter(f"seq >= {i * each} AND seq < {(i + 1) * each}").select("key", "value", F.col("seq").alias("ord")) for i in range(n)]
+
+
+# the small writes that a driver makes over the log, as SQL and as calls
+SMALL_SQL = "small AS (SELECT * FROM (VALUES ('user:000001:00', 'one'), ('user:000002:01', NULL), ('zz', 'last'), ('~', NULL)) t(k, v))"
+
+
+def with_small(store) -> None:
+    store.put([("user:000001:00", "first"), ("user:000001:00", "one"), ("zz", "last")])
+    store.delete(["user:000002:01", "~"])
+
+
+@query(f"WITH {LIVE_SQL}, {SMALL_SQL}, m AS (SELECT * FROM small UNION ALL SELECT * FROM raw WHERE k NOT IN (SELECT k FROM small)) SELECT k AS key, v AS value FROM m WHERE v IS NOT NULL")
+def store_put_delete_flush_view(spark, sf_dir):
+    """Layers of the log, small puts and deletes that were flushed, and some still in memory."""
+    with store_of(spark) as s:
+        for b in cuts_of(spark, sf_dir, 2):
+            s.put_df(b)
+        s.put([("user:000002:01", "lost"), ("zz", "early")])
+        s.flush()
+        with_small(s)
+        return said(s.view())
+
+
+@query(f"WITH {LIVE_SQL} SELECT k AS key, v AS value FROM live")
+def store_background_compaction(spark, sf_dir):
+    """Layers that are merged in the background while others are added."""
+    with store_of(spark, 3) as s:
+        for b in cuts_of(spark, sf_dir, 6):
+            s.put_df(b)
+        s.wait()
+        return said(s.view())
+
+
+@query(f"WITH {LIVE_SQL} SELECT k AS key, v AS value FROM live")
+def store_compact_vacuum_view(spark, sf_dir):
+    with store_of(spark) as s:
+        for b in cuts_of(spark, sf_dir, 3):
+            s.put_df(b)
+        s.compact()
+        s.vacuum()
+        return said(s.view())
+
+
+@query(f"WITH {LOG_SQL}, r AS (SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY seq DESC) rn FROM log WHERE seq < 2 * ((SELECT max(event_id) FROM events) // 4 + 1)) SELECT k AS key, v AS value FROM r WHERE rn = 1 AND v IS NOT NULL")
+def store_as_of(spark, sf_dir):
+    """The view as of the second of four layers, after all were merged."""
+    with store_of(spark) as s:
+        for i, b in enumerate(cuts_of(spark, sf_dir, 4)):
+            s.put_df(b)
+            if i == 1:
+                second = s.next_seq() - 1
+        s.compact()
+        return said(s.as_of(second))
+
+
+@query(f"WITH {LIVE_SQL}, {KEYS_SQL} SELECT keys.k AS key, v AS value, v IS NOT NULL AS found FROM keys LEFT JOIN live USING (k)")
+def store_multi_get(spark, sf_dir):
+    with store_of(spark) as s:
+        for b in cuts_of(spark, sf_dir, 3):
+            s.put_df(b)
+        d = s.multi_get(keys_of(spark, sf_dir))
+        return d.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), "found")
+
+
+@query(f"WITH {LIVE_SQL} SELECT k AS key, v AS value FROM live WHERE k >= 'user:000020' AND k < 'user:000060' AND starts_with(k, 'user:00003')")
+def store_range_prefix(spark, sf_dir):
+    with store_of(spark) as s:
+        for b in cuts_of(spark, sf_dir, 3):
+            s.put_df(b)
+        return said(s.scan("user:000020", "user:000060", "user:00003"))
+
+
+@query(f"WITH {LIVE_SQL} SELECT k AS key, v AS value FROM raw")
+def merge_tables_of_log(spark, sf_dir):
+    """Four tables on disk merged into one; tombstones stay."""
+    from lamella.sources.table import merge_tables
+
+    paths = []
+    for b in cuts_of(spark, sf_dir, 4):
+        paths.append(shared_path(spark))
+        write_table(spark, paths[-1], b)
+    out = shared_path(spark)
+    merge_tables(spark, paths, out)
+    return said(Table(spark, out).raw)
+
+
+@query(f"WITH {LIVE_SQL} SELECT count(*) AS entries, count(*) FILTER (v IS NULL) AS tombstones, count(v) AS live, min(k) AS least, max(k) AS most, true AS has_bloom FROM raw")
+def table_stats(spark, sf_dir):
+    """What a table's manifest and footers say, against what is in it."""
+    t = write_table(spark, shared_path(spark), log_of(spark, sf_dir).select("key", "value", F.col("seq").alias("ord")))
+    x = t.stats()
+    row = (x["entries"], x["tombstones"], t.count_live(), t.meta.least.decode(), t.meta.most.decode(), x["bloom_bytes"] > 0)
+    return spark.createDataFrame([row], "entries long, tombstones long, live long, least string, most string, has_bloom boolean")
+
+
+@query("SELECT 'event:'||lpad(event_id::VARCHAR, 12, '0') AS key, CASE WHEN event_type <> 'error' THEN event_type END AS value FROM events")
+def build_unique_one_exchange(spark, sf_dir):
+    """A table of keys that are unique by themselves."""
+    e = read(spark, sf_dir, "events").select(F.concat(F.lit("event:"), F.lpad(F.col("event_id").cast("string"), 12, "0")).cast("binary").alias("key"), F.when(F.col("event_type") != "error", F.col("event_type")).cast("binary").alias("value"))
+    return said(write_table(spark, shared_path(spark), e, unique=True).raw)
+
+
+@query("SELECT 'r:'||lpad(r_regionkey::VARCHAR, 4, '0') AS key, CASE WHEN r_regionkey <> 1 THEN r_name END AS value FROM region")
+def builder_row_by_row(spark, sf_dir):
+    """A table fed row by row, with a tombstone."""
+    from lamella.sources.table import Builder
+
+    b = Builder(spark, shared_path(spark), most_bytes=64)
+    for r in read(spark, sf_dir, "region").orderBy("r_regionkey").toLocalIterator():
+        b.add(f"r:{r['r_regionkey']:04d}", None if r["r_regionkey"] == 1 else r["r_name"])
+    return said(b.finish().raw)
+
+
+@query("SELECT 'set:'||r_regionkey AS key, 'text' AS kind, r_name AS value FROM region UNION ALL SELECT 'json', 'json', '{\"n\":1}' UNION ALL SELECT 'bytes', 'bytes', 'FF00'")
+def facade_set_get(spark, sf_dir):
+    """Text, JSON and bytes through the simple interface, after a save and a new opening."""
+    from lamella.facade import Lamella
+
+    path = shared_path(spark)
+    with Lamella(spark, path, durability="fast") as db:
+        db.set_many({f"set:{r['r_regionkey']}": r["r_name"] for r in read(spark, sf_dir, "region").collect()})
+        db.set("json", {"n": 1})
+        db.set("bytes", b"\xff\x00")
+        db.set("gone", "x")
+        db.delete("gone")
+    db = Lamella(spark, path)
+    d = db.view()
+    kind = F.when(F.col("text").isNull(), "bytes").when(F.col("json").isNotNull(), "json").otherwise("text")
+    return d.select(F.col("key").cast("string").alias("key"), kind.alias("kind"), F.coalesce("text", F.hex("value")).alias("value"))
+
+
+@query(f"WITH {LIVE_SQL} SELECT k AS key, v AS value FROM live")
+def stream_ingest(spark, sf_dir):
+    """The log as a stream into a store, in order: three batches, one layer each."""
+    from lamella.streaming.ingest import ingest
+
+    source = shared_path(spark)
+    for i, b in enumerate(cuts_of(spark, sf_dir, 3)):
+        b.coalesce(1).write.parquet(f"{source}/part={i}")
+    with store_of(spark) as s:
+        for i in range(3):
+            stream = spark.readStream.schema("key binary, value binary, ord long").parquet(f"{source}/part={i}")
+            ingest(stream, s, shared_path(spark), f"part{i}").awaitTermination(300)
+        return said(s.view())

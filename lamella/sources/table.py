@@ -1,28 +1,28 @@
 """Immutable, key-sorted tables: Parquet with statistics, bloom filter and page checksums, beside a small manifest.
 
-A table is written aside and gets its name by one rename, so it is there whole or not at all. Rows are range-partitioned
-and sorted by key: a point look-up is pruned by file and row-group bounds and the bloom filter, a range reads its files only.
+A table's files are written aside and then moved; its manifest is created last, and without it nothing is a table, so it is
+there whole or not at all. Rows are range-partitioned and sorted by key: a point look-up is pruned by file and row-group
+bounds and the bloom filter, whose size follows the keys of each row group, a range reads its files only.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
+from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lamella.functions.model import ENTRY, entries, validated
+from lamella.functions.model import ENTRY, check_entry, entries, to_bytes, validated
 from lamella.operators import resolve as R
-from lamella.sources.files import Files
+from lamella.sources.files import Corrupt, Files, sealed, unsealed
 
-FORMAT = 1
+FORMAT = 2
 MANIFEST = "_table.json"
-
-
-class Corrupt(Exception):
-    """A table that fails validation."""
+#: A row group's bloom filter is the least that fits its keys of ``BLOOM_SIZES`` sizes, each half of the one before, from this on.
+MOST_BLOOM, BLOOM_SIZES = 8 << 20, 11
 
 
 class Meta(NamedTuple):
@@ -41,14 +41,19 @@ class Meta(NamedTuple):
         return cls(d["rows"], d["tombstones"], d["size"], back(d["least"]), back(d["most"]))
 
 
-def write_table(spark: SparkSession, path: str, data, strict: bool = False, compression: str = "zstd", rows_expected: int | None = None, partitions: int | None = None) -> Table:
-    """Build a table at ``path`` of anything ``entries`` takes: sorted, the last of equal keys kept.
+def write_table(spark: SparkSession, path: str, data, strict: bool = False, compression: str = "zstd", unique: bool = False, partitions: int | None = None) -> Table:
+    """Build a table at ``path`` of anything ``entries`` takes: sorted, the last of equal keys kept, by ``ord`` where it is a DataFrame
+    (without ``ord`` a key that occurs twice has no last row and fails the build).
 
     ``strict``: the input must be in strictly ascending key order by ``ord``, as a builder fed row by row demands.
+    ``unique``: a promise that no key occurs twice, tested in place; it spares the exchange that brings a key's rows together.
+    Without it rows are combined before that exchange, so a key written a million times is a row for each task.
     """
     files = Files(spark, path)
     if files.exists(path):
         raise FileExistsError(path)
+    if strict and isinstance(data, DataFrame) and "ord" not in data.columns:
+        raise ValueError("a DataFrame in key order needs a column ord")
     df = validated(entries(spark, data))
     if strict:
         # neighbours meet by position, block by block: a block's last key goes to the next block
@@ -59,29 +64,103 @@ def write_table(spark: SparkSession, path: str, data, strict: bool = False, comp
         across = edges.alias("a").join(edges.alias("b"), F.expr("b._block = a._block + 1")).filter("b.first <= a.last")
         if not inside.isEmpty() or not across.isEmpty():
             raise ValueError("keys are not in strictly ascending order")
-    return store_sorted(spark, path, df.select("key", "value") if strict else R.last_wins(df), compression, rows_expected, partitions)
+    if strict or unique:
+        return store_sorted(spark, path, df.select("key", "value"), compression, partitions, R.unique)
+    return store_sorted(spark, path, R.last_wins(df), compression, partitions)
 
 
-def store_sorted(spark: SparkSession, path: str, rows: DataFrame, compression: str = "zstd", rows_expected: int | None = None, partitions: int | None = None, layers: bool = False) -> Table:
+def store_sorted(spark: SparkSession, path: str, rows: DataFrame, compression: str = "zstd", partitions: int | None = None, within=None) -> Table:
     """Write (key, value), one row for each key, as a table.
 
-    ``layers``: the rows are a log of few rows a key (``stacked`` tables); they are resolved after the range exchange, which
-    already brings a key together, so merging takes one exchange and no second one for grouping.
+    ``within``: what makes one row of a key's rows, run after the range exchange. That already brings a key together, so
+    merging ``stacked`` tables, of few rows a key, takes one exchange and no second one for grouping. The manifest's
+    figures are observed while the rows are written.
     """
     files, aside = Files(spark, path), f"{path.rstrip('/')}.{uuid.uuid4().hex}.tmp"
     spread = rows.repartitionByRange(partitions, "key") if partitions else rows.repartitionByRange("key")
-    spread = R.resolve(spread, keep_tombstones=True) if layers else spread
-    writer = spread.sortWithinPartitions("key").write.option("compression", compression).option("parquet.page.write-checksum.enabled", "true")
-    writer = writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", str(max(1000, rows_expected or 100_000)))
-    writer.parquet(aside)
-    back = spark.read.schema(ENTRY).parquet(aside)
-    x = back.agg(F.count("*"), F.count_if(F.col("value").isNull()), F.min("key"), F.max("key")).first()
-    meta = Meta(x[0], x[1], files.size(aside), None if x[2] is None else bytes(x[2]), None if x[3] is None else bytes(x[3]))
-    files.create(f"{aside}/{MANIFEST}", json.dumps(meta.as_json()).encode())
-    files.rename(aside, path)
+    spread = within(spread) if within else spread
+    seen = Observation()
+    sorted_ = spread.sortWithinPartitions("key").observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("value").isNull()).alias("tombstones"), F.hex(F.min("key")).alias("least"), F.hex(F.max("key")).alias("most"))
+    writer = sorted_.write.option("compression", compression).option("parquet.page.write-checksum.enabled", "true")
+    writer = writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.adaptive.enabled", "true").option("parquet.bloom.filter.max.bytes", str(MOST_BLOOM)).option("parquet.bloom.filter.candidates.number#key", str(BLOOM_SIZES))
+    try:
+        writer.parquet(aside)
+        x = seen.get
+        back = lambda h: None if h is None else bytes.fromhex(h)
+        meta = Meta(x["rows"], x["tombstones"], files.size(aside), back(x["least"]), back(x["most"]))
+        files.rename(aside, path)
+    except BaseException:
+        files.remove(aside)
+        raise
+    if not files.create(f"{path}/{MANIFEST}", sealed(meta.as_json())):
+        raise FileExistsError(path)
     return Table(spark, path)
 
 
+class Builder:
+    """A table fed row by row in strictly ascending key order, whatever its size: rows go to a staging folder by ``most_bytes``.
+
+    ``with Builder(spark, path) as b: b.add("a", "1"); b.add_tombstone("b")`` finishes at the end; an exception leaves nothing.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, compression: str = "zstd", most_bytes: int = 32 << 20) -> None:
+        self.spark, self.path, self.compression, self.most_bytes = spark, path.rstrip("/"), compression, most_bytes
+        self.files = Files(spark, path)
+        if self.files.exists(path):
+            raise FileExistsError(path)
+        self.stage = f"{self.path}.{uuid.uuid4().hex}.tmp"
+        self.rows: list[tuple] = []
+        self.last: bytes | None = None
+        self.held = self.staged = 0
+        self.done = False
+
+    def add(self, key: str | bytes, value: str | bytes | None) -> None:
+        """The next entry; None is a tombstone."""
+        if self.done:
+            raise RuntimeError("the builder is finished")
+        k, v = to_bytes(key), None if value is None else to_bytes(value)
+        check_entry(k, v)
+        if self.last is not None and k <= self.last:
+            raise ValueError("keys are not in strictly ascending order")
+        self.rows.append((bytearray(k), None if v is None else bytearray(v)))
+        self.last, self.held = k, self.held + len(k) + len(v or b"") + 32
+        if self.held >= self.most_bytes:
+            self._spill()
+
+    def add_tombstone(self, key: str | bytes) -> None:
+        self.add(key, None)
+
+    def add_many(self, data: Iterable) -> None:
+        for k, v in data:
+            self.add(k, v)
+
+    def _spill(self) -> None:
+        self.spark.createDataFrame(self.rows, ENTRY).write.parquet(f"{self.stage}/{self.staged:08d}")
+        self.rows, self.held, self.staged = [], 0, self.staged + 1
+
+    def finish(self) -> Table:
+        if self.done:
+            raise RuntimeError("the builder is finished")
+        self.done = True
+        rows = self.spark.createDataFrame(self.rows, ENTRY)
+        if self.staged:
+            rows = rows.union(self.spark.read.schema(ENTRY).parquet(*(f"{self.stage}/{i:08d}" for i in range(self.staged))))
+        try:
+            return store_sorted(self.spark, self.path, rows, self.compression, None if self.staged else 1)
+        finally:
+            self.files.remove(self.stage)
+
+    def __enter__(self) -> Builder:
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        if kind is None and not self.done:
+            self.finish()
+        elif not self.done:
+            self.done = True
+            self.files.remove(self.stage)
+
+
 class Table:
     """A table that was written; tombstones are visible in ``raw`` and in scans of it."""
 
@@ -89,10 +168,9 @@ class Table:
         files = Files(spark, path)
         if not files.exists(f"{path}/{MANIFEST}"):
             raise Corrupt(f"{path} is no table: it has no {MANIFEST}")
-        try:
-            said = files.read_json(f"{path}/{MANIFEST}")
-        except ValueError as e:
-            raise Corrupt(f"{path}/{MANIFEST} can't be parsed") from e
+        said = unsealed(files.read(f"{path}/{MANIFEST}"), f"{path}/{MANIFEST}")
+        if said is None:
+            raise Corrupt(f"{path}/{MANIFEST} is cut off")
         if said.get("format") != FORMAT:
             raise Corrupt(f"{path} has format {said.get('format')}; {FORMAT} is read")
         self.spark, self.path, self.files, self.meta = spark, path, files, Meta.of(said)
@@ -128,8 +206,12 @@ class Table:
         return self.get(key) is not None
 
     def multi_get(self, keys: DataFrame) -> DataFrame:
+        """``keys`` (key, other columns) with ``found`` and ``value``; only what lies in the keys' bounds is read."""
         return R.multi_get(self.live, keys)
 
+    def multi_has(self, keys: DataFrame) -> DataFrame:
+        return R.multi_has(self.live, keys)
+
     def scan(self, start=None, end=None, prefix=None, ordered: bool = True) -> DataFrame:
         return R.scan(self.raw, start, end, prefix, ordered)
 
@@ -147,20 +229,23 @@ class Table:
             yield bytes(r["key"]), None if r["value"] is None else bytes(r["value"])
 
     def stats(self) -> dict:
-        """Entries, tombstones, bytes on disk, and from the Parquet footers: files, row groups, raw and stored bytes."""
+        """Entries, tombstones, bytes on disk, and from the Parquet footers: files, row groups, raw and stored bytes and those of
+        the bloom filters. Footers are read some at a time, never the rows."""
         jvm, conf = self.files.jvm, self.files.conf
-        groups = raw = stored = n = 0
-        for name in self.files.names(self.path):
-            if name.endswith(".parquet"):
-                source = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(self.files.path(f"{self.path}/{name}"), conf)
-                reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(source)
-                try:
-                    n += 1
-                    for b in reader.getFooter().getBlocks():
-                        groups, raw, stored = groups + 1, raw + b.getTotalByteSize(), stored + b.getCompressedSize()
-                finally:
-                    reader.close()
-        return {"entries": self.meta.rows, "tombstones": self.meta.tombstones, "size": self.files.size(self.path), "files": n, "row_groups": groups, "raw_bytes": raw, "stored_bytes": stored, "ratio": stored / raw if raw else 1.0}
+        names = [n for n in self.files.names(self.path) if n.endswith(".parquet")]
+
+        def footer(name: str) -> tuple[int, int, int, int]:
+            source = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(self.files.path(f"{self.path}/{name}"), conf)
+            reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(source)
+            try:
+                groups = list(reader.getFooter().getBlocks())
+                return len(groups), sum(b.getTotalByteSize() for b in groups), sum(b.getCompressedSize() for b in groups), sum(max(0, c.getBloomFilterLength()) for b in groups for c in b.getColumns())
+            finally:
+                reader.close()
+
+        with ThreadPoolExecutor(16) as pool:
+            groups, raw, stored, bloom = map(sum, zip((0, 0, 0, 0), *pool.map(footer, names), strict=True))
+        return {"entries": self.meta.rows, "tombstones": self.meta.tombstones, "size": self.files.size(self.path), "files": len(names), "row_groups": groups, "bloom_bytes": bloom, "raw_bytes": raw, "stored_bytes": stored, "ratio": stored / raw if raw else 1.0}
 
     def check(self) -> int:
         """Read every page against its checksum, and hold order and count against the manifest; returns the entries."""
@@ -193,4 +278,4 @@ def merge_tables(spark: SparkSession, inputs: list[str], out: str, compression:
     tables = [Table(spark, p) for p in inputs]
     if not tables:
         raise ValueError("nothing to merge")
-    return len(store_sorted(spark, out, R.stacked([t.raw for t in tables]), compression, sum(len(t) for t in tables), layers=True))
+    return len(store_sorted(spark, out, R.stacked([t.raw for t in tables]), compression, None, lambda log: R.resolve(log, keep_tombstones=True)))

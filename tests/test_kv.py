@@ -113,7 +113,7 @@ def test_corruption_is_told(spark, tmp_path):
         Table(spark, f"{tmp_path}/none")
     (tmp_path / "g").mkdir()
     (tmp_path / "g/_table.json").write_text("{")
-    with pytest.raises(Corrupt, match="parsed"):
+    with pytest.raises(Corrupt, match="cut off"):
         Table(spark, f"{tmp_path}/g")
 
 
@@ -153,7 +153,7 @@ def test_store_log_survives_a_torn_write(spark, tmp_path):
     path = f"{tmp_path}/s"
     with Store(spark, path) as s:
         s.put({"a": "1"})
-    (tmp_path / "s/log/99999999999999999999.json").write_text('{"crc": 1, "rows": "[')
+    (tmp_path / "s/log/99999999999999999999.json").write_text("{\"rows\": [")
     with Store(spark, path) as s:
         assert s.get("a") == b"1"
 
