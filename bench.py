@@ -59,7 +59,7 @@ def main() -> None:
         # the published workload: 100,000 entries of 100 bytes
         entries = spark.range(100_000).select(F.format_string("key:%010d", "id").cast("binary").alias("key"), F.rpad(F.col("id").cast("string"), 100, "x").cast("binary").alias("value")).cache()
         entries.count()
-        table = timed("build_100k", lambda: write_table(spark, fresh(), entries), 100_000)
+        table = timed("build_100k", lambda: write_table(spark, fresh(), entries, unique=True), 100_000)
         timed("iterate_100k", lambda: sink(table.scan()), 100_000)
         timed("point_get_hit", lambda: table.get("key:0000050000"))
         timed("point_get_miss", lambda: table.get("key:x"))
@@ -67,6 +67,16 @@ def main() -> None:
         keys = entries.select("key").sample(0.5, 7).cache()
         timed("multi_get_50k", lambda: sink(table.multi_get(keys)), keys.count())
 
+        # the same a hundred times larger, where rates mean something: a job's fixed cost is most of the figures above
+        n_large = int(os.environ.get("BENCH_LARGE", "10000000"))
+        large = spark.range(n_large).select(F.format_string("key:%010d", "id").cast("binary").alias("key"), F.rpad(F.col("id").cast("string"), 100, "x").cast("binary").alias("value"))
+        wide = timed("build_10m", lambda: write_table(spark, fresh(), large, unique=True), n_large, 1)
+        timed("iterate_10m", lambda: sink(wide.scan(ordered=False)), n_large, 1)
+        some = large.select("key").sample(0.1, 7)
+        timed("multi_get_1m_of_10m", lambda: sink(wide.multi_get(some)), n_large // 10, 1)
+        timed("range_100k_of_10m", lambda: sink(wide.range("key:0005000000", "key:0005100000")), 100_000, 1)
+        timed("point_get_of_10m", lambda: wide.get("key:0005000000"))
+
         log = C.log_of(spark, sf_dir).cache()
         size = log.count()
         timed("resolve_live", lambda: sink(R.resolve(log)), size)
@@ -78,7 +88,7 @@ def main() -> None:
         def layered():
             p = Published(spark, fresh(), Options(compact_threshold=0))
             for i in range(3):
-                p.store.put_df(orders.filter(f"n % 3 = {i}"))
+                p.store.put_df(orders.filter(f"n % 3 = {i}"), unique=True)
             p.store.compact()
             p.close()
 

@@ -11,8 +11,9 @@ from lamella.operators.store import Store
 def ingest(stream: DataFrame, store: Store, checkpoint: str, name: str = "ingest", trigger: dict | None = None) -> StreamingQuery:
     """Start a query that puts ``stream`` (key, value and perhaps ord; NULL deletes) into ``store``.
 
-    A batch that is run again after a crash is known by its number and left out. Within a batch ``ord`` decides; between
-    batches, arrival. ``trigger``: as in writeStream.trigger, by default everything that is there, then stop.
+    A batch that is run again after a crash is known by its number and left out. Within a batch ``ord`` decides (without it a
+    key that occurs twice in one batch fails the query, as no row is its last); between batches, arrival.
+    ``trigger``: as in writeStream.trigger, by default everything that is there, then stop.
     """
 
     def put(batch: DataFrame, number: int) -> None:
