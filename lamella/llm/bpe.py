@@ -6,9 +6,10 @@ batch are gathered by array look-ups. A text with rarer white space, where engin
 Decoding maps each id to its bytes through the byte table (256 bytes onto printable characters, reversed); characters
 that ids split are whole again once bytes are joined, and ``as_text`` holds back an unfinished one between chunks.
 
-One narrow pass: no exchange; memory is bounded by an Arrow batch of at most 16 MB (or one text) and the cache.
+One narrow pass: no exchange; memory is bounded by an Arrow batch of at most 4 MB (or one text, whatever its length) and the
+cache, of at most ``KEEP`` cuts and ``KEEP_CHARS`` characters.
 
-Defined results: null text counts as empty, with no ids; special tokens' strings are ordinary text; repeated rows are
+Defined results: null text counts as empty, with no ids; a very long text is encoded whole; special tokens' strings are ordinary text; repeated rows are
 encoded alike; an empty table gives an empty result; other columns, whatever their names, pass through untouched.
 """
 
@@ -27,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lamella.llm.common import importable
+from lamella.llm.common import importable, lean
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -37,8 +38,8 @@ CUTS = re.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
 RARE = [chr(c) for c in (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)]
 #: Where any of these stands, a text is not made of words with one blank before each.
 UNEVEN = ["  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c", "\x00", "\x01"]
-#: Different cuts that a worker keeps, their longest length, and characters encoded at a time.
-KEEP, LONG, SLICE = 400_000, 64, 4 << 20
+#: Different cuts that a worker keeps and their characters, their longest length, and characters encoded at a time.
+KEEP, KEEP_CHARS, LONG, SLICE = 400_000, 16 << 20, 64, 4 << 20
 #: Words of letters, with signs after them or not, and how many of them are encoded at a time.
 SIMPLE, SIGNS, BLOCK = r"^\p{L}+[,.;:!?$&%#*]*$", r"[,.;:!?$&%#*]$", 500
 
@@ -71,6 +72,7 @@ class Encoder:
         self.mark[[k for piece, k in vocabulary.items() if (piece.endswith("</w>") if words else piece.startswith("\u0120"))]] = True
         #: cut -> its number; by number: where its ids lie in ``pool``, how many, and how often it came lately
         self.at: dict[str, int] = {}
+        self.chars = 0
         self.pool, self.start, self.size, self.uses = (np.zeros(0, t) for t in (np.int32, np.int64, np.int64, np.int64))
 
     def odd(self, text: str) -> list[str] | None:
@@ -133,6 +135,7 @@ class Encoder:
             values, size = self.fresh(coded.dictionary.take(pa.array(new)), fresh)
             number[new] = np.arange(base, base + len(new))
             self.at.update(zip(fresh, range(base, base + len(new)), strict=True))
+            self.chars += sum(map(len, fresh))
             self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(size) - size])
             self.pool = np.concatenate([self.pool, values])
             self.size = np.concatenate([self.size, size])
@@ -142,7 +145,7 @@ class Encoder:
         values = self.pool[ranges(self.start[index], each)]
         counts = np.diff(np.concatenate([[0], np.cumsum(each)])[np.cumsum(n)], prepend=0)
         self.uses += np.bincount(index, minlength=len(self.size))
-        if len(self.at) > KEEP or len(self.pool) > 8 * KEEP:
+        if len(self.at) > KEEP or self.chars > KEEP_CHARS or len(self.pool) > 8 * KEEP:
             self._shrink()
         return values, counts
 
@@ -183,15 +186,18 @@ class Encoder:
         return values[ranges(begins, size)], size
 
     def _shrink(self) -> None:
-        """Keep the cuts that came most, half of what may be kept, and none of the long ones."""
+        """Keep the cuts that came most, half of what may be kept by number and by characters, and none of the long ones."""
         keys = [u for u in self.at if len(u) <= LONG]
         old = np.fromiter((self.at[u] for u in keys), np.int64, len(keys))
         top = np.argsort(-self.uses[old], kind="stable")[: KEEP // 2]
+        size = np.fromiter(map(len, keys), np.int64, len(keys))[top]
+        top = top[: np.searchsorted(np.cumsum(size), KEEP_CHARS // 2)]
         old = old[top]
         size = self.size[old]
         self.pool = self.pool[ranges(self.start[old], size)]
         self.start, self.size, self.uses = np.cumsum(size) - size, size, self.uses[old] // 2
         self.at = {keys[k]: i for i, k in enumerate(top.tolist())}
+        self.chars = sum(map(len, self.at))
 
 
 @functools.lru_cache(maxsize=4)
@@ -257,7 +263,7 @@ def encode(docs: DataFrame, text: str = "text", path: str = BYTE_BPE, offsets: b
             keep = [k for k, name in enumerate(batch.schema.names) if name != text]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), ids, *more], [*(batch.schema.names[k] for k in keep), *(n for n, _ in extra)])
 
-    return docs.mapInArrow(run, T.StructType([*rest.schema.fields, *(T.StructField(n, t) for n, t in extra)]))
+    return docs.mapInArrow(lean(run), T.StructType([*rest.schema.fields, *(T.StructField(n, t) for n, t in extra)]))
 
 
 def token_counts(docs: DataFrame, text: str = "text", path: str = BYTE_BPE, name: str = "n_tokens") -> DataFrame:
@@ -271,4 +277,4 @@ def token_counts(docs: DataFrame, text: str = "text", path: str = BYTE_BPE, name
             keep = [k for k, n in enumerate(batch.schema.names) if n != text]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(counts, pa.int64())], [*(batch.schema.names[k] for k in keep), name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.drop(text).schema.fields, T.StructField(name, T.LongType())]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.drop(text).schema.fields, T.StructField(name, T.LongType())]))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.common import importable, ranked, written
+from lamella.llm.common import importable, lean, ranked, written
 
 BITS = 8
 
@@ -60,7 +60,7 @@ def with_curve(df: DataFrame, axes: list[str], name: str = "curve") -> DataFrame
             at = curve_index([batch.column(a).to_numpy(zero_copy_only=False) for a in axes])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int64())], [*batch.schema.names, name])
 
-    return df.mapInArrow(run, df.withColumn(name, F.lit(0).cast("long")).schema)
+    return df.mapInArrow(lean(run), df.withColumn(name, F.lit(0).cast("long")).schema)
 
 
 def shards(docs: DataFrame, n: int = 40) -> DataFrame:
@@ -78,7 +78,7 @@ def shards(docs: DataFrame, n: int = 40) -> DataFrame:
     rows = written(with_curve(small, ["source_cell", "lang_cell", "size_cell"]))
     total = rows.count()
     each, more = divmod(total, n)  # the first ``more`` shards hold one row more
-    d = ranked(rows, ["curve", "size", "_hash", "text_crc32", "doc_id"])
+    d = ranked(rows.withColumn("_row_id", F.monotonically_increasing_id()), ["curve", "size", "_hash", "text_crc32", "doc_id", "_row_id"])
     cut = more * (each + 1)
     shard = f"CASE WHEN rank < {cut}L THEN rank DIV {each + 1}L ELSE {more}L + (rank - {cut}L) DIV {max(each, 1)}L END"
     d = d.withColumn("shard", F.expr(f"cast({shard} AS int)"))

@@ -8,7 +8,8 @@ any exact quantile. Lengths between two rows follow linearly from the row above.
 Texts are encoded in a narrow pass; the histogram is a partial count. Suffix sums go over blocks of lengths and
 then within each block, so no task gets more than 4096 rows or a row per block.
 
-Defined results: null text counts as empty, of length 0; repeated rows count each; an empty table gives no rows.
+Defined results: null text counts as empty, of length 0; a very long text is encoded whole and is a length like others; documents of
+one length (ties) share a row; repeated rows count each; an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

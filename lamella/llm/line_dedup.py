@@ -1,7 +1,8 @@
 """Line dedup: repeated runs of lines by a suffix array over line ids, in DataFrame functions only.
 
 A line (with at least one word) of a document is deleted if it lies in a run of lines of ``min_words`` words or more
-that also stands earlier: in a document with a lower id, or higher up in the same one. The first copy stays.
+that also stands earlier: in a document with a lower id, or higher up in the same one. The first copy stays. Shorter runs
+stay everywhere, so a repeated title, list item or licence line of under 50 words is left alone, unless it stands in a longer run.
 
 1. Each text becomes its sequence of line ids (64-bit hashes). Equal texts (by 128 bits) fold into one sequence, whose
    first copy has the lowest id; all lines of later copies are deleted if they have ``min_words`` words together.
@@ -20,7 +21,7 @@ Every grouping is a partial ``min`` or ``count``; joins on frequent keys are sor
 execution splits; nothing is partitioned by a line, a passage or a source. A document's lines meet in one row. Each
 round is a written table.
 
-Defined results: null text stays null and takes no part; lines without a word are never deleted; a line's white space
+Defined results: null text stays null and takes no part; a very long text is one row, in the exchanges too; lines without a word are never deleted; a line's white space
 counts; null ids come before all others; rows equal in id and text are one document and are treated alike; an empty
 table gives an empty result; other columns pass through, whatever their names.
 """

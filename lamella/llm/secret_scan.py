@@ -5,10 +5,12 @@ where a match of each rule can end. Only at those places the rule's own reversed
 forward automaton the end, so matches are leftmost, longest and non-overlapping for each rule; those that fail the
 rule's length are dropped after they have taken their characters, as a regular-expression scan does.
 
-A scan is one narrow pass: no exchange, memory bounded by an Arrow batch of at most 16 MB or one text.
+A scan is one narrow pass: no exchange, memory bounded by an Arrow batch of at most 4 MB or one text, whatever its length.
+
+Letters "in either case" are the 26 of ASCII: the long s and the Kelvin sign, which some engines fold to s and k, are other letters.
 
 Defined results: null text counts as empty and has no spans; positions are code points of the whole text; spans of
-different kinds may overlap; repeated rows are scanned alike; an empty table gives an empty result; other columns,
+different kinds may overlap, and of equal starts (ties) the kind listed first comes first; repeated rows are scanned alike; an empty table gives an empty result; other columns,
 whatever their names, pass through untouched.
 """
 
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lamella.llm.automaton import Dfa, hits
-from lamella.llm.common import importable
+from lamella.llm.common import importable, lean
 
 
 class Rule(NamedTuple):
@@ -112,7 +114,7 @@ def scan(docs: DataFrame, text: str = "text", name: str = "spans", rules: tuple[
             rows = [[{"kind": rules[k].kind, "start": s, "end": e} for s, e, k in points(t, m)] for t, m in zip(texts, matches(texts, rules), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, SPANS)]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField(name, SPANS)]))
 
 
 def redact(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -135,7 +137,7 @@ def redact(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
             clean = pa.array(out, pa.binary()).cast(column.type, safe=False)
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], clean, *batch.columns[at + 1 :]], schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def digest(found: DataFrame, base: tuple[str, ...] = tuple(r.kind for r in BASE)) -> DataFrame:
