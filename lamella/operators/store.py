@@ -314,6 +314,10 @@ class Store:
     def layer_count(self) -> int:
         return len(self.manifests.newest()["layers"])
 
+    def layers(self) -> list[dict]:
+        """Each layer, oldest first: its number and the least that was merged into it, entries, tombstones, bytes, least and greatest key."""
+        return [{"seq": x["seq"], "first": x["first"], **Meta.of(x)._asdict()} for x in self.manifests.newest()["layers"]]
+
     def memtable_len(self) -> int:
         return len(self.memtable)
 

@@ -560,3 +560,13 @@ def stream_ingest(spark, sf_dir):
             stream = spark.readStream.schema("key binary, value binary, ord long").parquet(f"{source}/part={i}")
             ingest(stream, s, shared_path(spark), f"part{i}").awaitTermination(300)
         return said(s.view())
+
+
+@query(f"WITH {LOG_SQL}, c AS (SELECT k, v, seq // ((SELECT max(event_id) FROM events) // 4 + 1) AS i, row_number() OVER (PARTITION BY k, seq // ((SELECT max(event_id) FROM events) // 4 + 1) ORDER BY seq DESC) rn FROM log) SELECT (i + 1)::BIGINT AS layer, count(*) AS n, count(*) FILTER (v IS NULL) AS tombstones, min(k) AS least, max(k) AS most FROM c WHERE rn = 1 GROUP BY i")
+def store_layers(spark, sf_dir):
+    """What the store's manifest says of four layers."""
+    with store_of(spark) as s:
+        for b in cuts_of(spark, sf_dir, 4):
+            s.put_df(b)
+        rows = [(x["seq"], x["rows"], x["tombstones"], x["least"].decode(), x["most"].decode()) for x in s.layers()]
+    return spark.createDataFrame(rows, "layer long, n long, tombstones long, least string, most string")
