@@ -10,14 +10,14 @@ certified cutoffs the one is taken that rejects most bad labelled documents, wit
 ten times. A stratum with too few good labels has no cutoff and rejects nothing.
 
 Defined results: null text counts as empty (no words, so ``base_failed``); null language is a stratum of its
-own; a document labelled twice counts once, with its lowest quality; null labels are left out; repeated rows
+own, as is the empty one; a very long text is measured whole; of cutoffs that gain equally (ties) the milder one is taken; a document labelled twice counts once, with its lowest quality; null labels are left out; repeated rows
 are judged alike, each row returned; an empty table gives an empty result; without labels only the base rules
 reject; other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamella.llm.common import hash_join, written
@@ -56,13 +56,18 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     return d.drop("_text", "_trim", "_words", "_hashes", "_lines", "_wins", "_sorted", "_repeats", "_upper", "_n_lines")
 
 
+def coded(stratum: str) -> Column:
+    """A stratum's name as a key of joins, where null is a name of its own."""
+    return F.coalesce(F.concat(F.lit("="), F.col(stratum)), F.lit(""))
+
+
 def cutoffs(measures: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """(stratum, one cutoff per rate or null): certified by ``labels`` (doc_id, quality) joined to ``measures``.
+    """(stratum, one cutoff per rate or null; a null stratum is one): certified by ``labels`` (doc_id, quality) joined to ``measures``.
 
     Counts are histograms of at most 1001 values for each stratum and rate; only those reach the tests.
     """
     one = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality IN (0, 1)")
-    seen = measures.select("doc_id", F.expr(f"coalesce(`{stratum}`, '')").alias("stratum"), *RATES).join(one, "doc_id")
+    seen = measures.select("doc_id", F.col(stratum).alias("stratum"), *RATES).join(one, "doc_id")
     long = seen.select("stratum", "quality", F.expr(f"stack({len(RATES)}, {', '.join(f'{chr(39)}{r}{chr(39)}, {r}' for r in RATES)}) AS (rate, value)"))
     hist = long.groupBy("stratum", "rate", "value").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad"))
     # a row per stratum and rate: [good with value v, bad with value v] for v of 0..1000
@@ -88,9 +93,9 @@ def cutoffs(measures: DataFrame, labels: DataFrame, stratum: str = "lang", alpha
 
 def judged(measures: DataFrame, cuts: DataFrame, stratum: str = "lang") -> DataFrame:
     """``measures`` with ``kept``: false if ``base_failed`` or a rate lies above its stratum's certified cutoff."""
-    table = written(cuts.select(F.col("stratum").alias("_stratum"), *(F.col(r).alias(f"_cut_{r}") for r in RATES)))
+    table = written(cuts.select(coded("stratum").alias("_stratum"), *(F.col(r).alias(f"_cut_{r}") for r in RATES)))
     above = " OR ".join(f"coalesce({r} > _cut_{r}, false)" for r in RATES)
-    d = hash_join(measures.withColumn("_stratum", F.expr(f"coalesce(`{stratum}`, '')")), table, ["_stratum"], most_rows=10_000)
+    d = hash_join(measures.withColumn("_stratum", coded(stratum)), table, ["_stratum"], most_rows=10_000)
     # a partition's number keeps the optimiser from copying the measures, lambda by lambda, into a filter on the verdict
     return d.withColumn("kept", F.expr(f"NOT (base_failed OR {above}) AND spark_partition_id() >= 0")).drop("_stratum", *(f"_cut_{r}" for r in RATES))
 
@@ -103,6 +108,6 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def quality_stage(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the documents that the rules reject; columns and order of columns stay."""
-    m = written(measured(docs.select("doc_id", "lang", "text")).drop("text"))
     rows = docs.select(F.struct("*").alias("_row"), "doc_id", "lang", "text")  # so that no name of the input meets one of ours
-    return judged(measured(rows), cutoffs(m, labels)).filter("kept").select("_row.*")
+    m = written(measured(rows).drop("text"))  # with the rows, so that nothing is measured twice; cutoffs read the narrow columns
+    return judged(m, cutoffs(m.drop("_row"), labels)).filter("kept").select("_row.*")

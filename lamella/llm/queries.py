@@ -78,7 +78,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 WS = "' '||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 OP9_SQL = rf"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce('='||lang, '') AS stratum, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, CASE WHEN trim(t, {WS}) = '' THEN [] ELSE string_split_regex(trim(t, {WS}), '[\x20\x09-\x0D]+') END AS ws,
         list_filter(string_split(t, chr(10)), lambda l: trim(l, {WS}) <> '') AS ls FROM d),
 win AS (SELECT rid, i, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT rid, ws, unnest(range(1, greatest(len(ws) - 3, 1))) AS i FROM w)),
