@@ -58,7 +58,8 @@ def importable(spark: SparkSession) -> None:
         spark.sparkContext.addPyFile(package())
         _sent.add(app)
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > BATCH:
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if now <= 0 or now > BATCH:
         spark.conf.set(name, str(BATCH))
 
 

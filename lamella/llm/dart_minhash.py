@@ -12,15 +12,17 @@ coordinate keeps its earliest dart. A set with an empty coordinate goes on with
 coordinate with probability equal to their similarity.
 
 Joining: ``BANDS`` bands of ``ROWS`` coordinates; at similarity 0.8 two texts share no band with probability below 1e-4.
-Equal sets fold into one node first. Every bucket links its members to its least member only (never all pairs);
-components of these candidates come from star contraction. A component's texts then meet once, and all links in it are
-found *exactly* by an inverted index of shingles, the leader's comparisons not being taken as proof of anything. A
-component of more than ``BLOCK`` characters of text is cut into blocks, and each pair of blocks is a task of its own, so
-no task grows with a group; verified links of blocks are contracted again.
+Equal sets fold into one node first, known by 128 bits. Every bucket links its members to its least member only (never all
+pairs); components of these candidates come from star contraction. A component's texts then meet once, and all links in it
+are found *exactly* by an inverted index of shingles, the leader's comparisons not being taken as proof of anything. A larger
+component is cut into blocks of neighbours (texts with the same leader are in one block or in adjoining ones), each pair of
+blocks that share a band is a task of its own, and verified links of blocks are contracted again: no task grows with a group.
+Blocks of a component of n texts have n / 8, at least ``LEAST_DOCS`` and at most ``BLOCK_DOCS`` texts, and ``BLOCK`` characters.
 
 Defined results: a text without words (null, empty, blank) is in a class of its own; one of fewer than five words is one
 shingle; equal texts are in one class; a class is named by its least id; null ids join classes but name one only if all
-its ids are null; repeated rows are returned each; an empty table gives an empty result; other columns are ignored.
+its ids are null; a very long text is signed and compared whole, as a block of its own if need be; repeated rows are returned
+each; an empty table gives an empty result; other columns are ignored. ``near_dedup_stage`` says what it keeps.
 """
 
 from __future__ import annotations
@@ -31,15 +33,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamella.llm.bpe import texts_of
-from lamella.llm.common import components, hash_join, importable, written
+from lamella.llm.common import components, hash_join, importable, lean, ranked, tidy, written
 
 WIDTH, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 6
-#: Characters of text in a block of a task, and documents.
-BLOCK, BLOCK_DOCS = 6_000_000, 4096
+#: Characters of text in a block of a task, documents, and documents below which a block is not cut for its number.
+BLOCK, BLOCK_DOCS, LEAST_DOCS = 6_000_000, 4096, 256
+#: Rows of two ids and two keys that a join may send to every task.
+SENT = 500_000
 U = np.uint64
 
 
@@ -129,14 +133,14 @@ def bands(sig: np.ndarray, n: int, rows: int) -> np.ndarray:
 
 
 def signed(docs: DataFrame, text: str = "text", n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, text_key, h1, h2, chars, bands): the set's 128-bit key and its bands; null without words."""
+    """(doc_id, k1, k2, h1, h2, chars, bands): the text's and the set's 128-bit keys and its bands; the set's are null without words."""
     importable(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: dict[int, tuple] = {}  # copies that come in one task are signed once
+        done: dict[tuple, tuple] = {}  # copies that come in one task are signed once
         for batch in batches:
             out = []
-            for key, t in zip(batch.column("text_key").to_pylist(), texts_of(batch.column(text)), strict=True):
+            for key, t in zip(zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), strict=True), texts_of(batch.column(text)), strict=True):
                 if key not in done:
                     e, w = shingles(t)
                     if len(done) > 20_000:
@@ -147,13 +151,18 @@ def signed(docs: DataFrame, text: str = "text", n_bands: int = BANDS, rows: int
                     else:
                         done[key] = (None, None, 0, [])
                 out.append(done[key])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), *(pa.array([x[i] for x in out], pa.int64()) for i in range(3)), pa.array([x[3] for x in out], pa.list_(pa.int64()))], ["doc_id", "text_key", "h1", "h2", "chars", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("k1"), batch.column("k2"), *(pa.array([x[i] for x in out], pa.int64()) for i in range(3)), pa.array([x[3] for x in out], pa.list_(pa.int64()))], ["doc_id", "k1", "k2", "h1", "h2", "chars", "bands"])
 
-    return with_key(docs, text).mapInArrow(run, "doc_id long, text_key long, h1 long, h2 long, chars long, bands array<long>")
+    return with_key(docs, text).mapInArrow(lean(run), "doc_id long, k1 long, k2 long, h1 long, h2 long, chars long, bands array<long>")
 
 
 def with_key(docs: DataFrame, text: str) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.lit(3), text).alias("text_key"), text)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *key_of(text), text)
+
+
+def key_of(text: str) -> list[Column]:
+    """A text's 128-bit key; null has one of its own."""
+    return [F.xxhash64(F.lit(3), text).alias("k1"), F.xxhash64(F.lit(4), F.reverse(text), F.lit(5)).alias("k2")]
 
 
 class Sets:
@@ -201,40 +210,67 @@ def links(left: list[str], right: list[str] | None, threshold: float = THRESHOLD
                 yield i, j
 
 
-def classes(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, n_bands: int = BANDS, rows: int = ROWS, block: int = BLOCK, block_docs: int = BLOCK_DOCS) -> DataFrame:
-    """(doc_id, text_key, h1, h2, class_id, lead1, lead2) for every row of ``docs``; the last two are the key of the set
+def blocks_of(members: DataFrame, block: int, block_docs: int, least_docs: int) -> DataFrame:
+    """``members`` (group, node, lead, chars, ...) with their block ``b`` in the group and the group's number of ``blocks``."""
+    count = f"greatest(1, ceil(sum(chars) / {block}D), ceil(count(*) / greatest({least_docs}, least({block_docs}, count(*) / 8))))"
+    sizes = members.groupBy("group").agg(F.expr(f"cast({count} AS int)").alias("blocks"), F.count("*").alias("_n"))
+    d = written(members.join(sizes, "group"))
+    one = d.filter("blocks = 1").select(*members.columns, "blocks", F.lit(0).alias("b"))
+    large = d.filter("blocks > 1")
+    if large.isEmpty():
+        return one
+    # neighbours by leader; a group's rows are consecutive, so their number in it is theirs less the least
+    at = written(ranked(large, ["group", "lead", "node"], "_at"))
+    first = at.groupBy("group").agg(F.min("_at").alias("_first"))
+    cut = at.join(first, "group").withColumn("b", F.expr("cast((_at - _first) * blocks DIV _n AS int)"))
+    return one.unionByName(cut.select(*one.columns))
+
+
+def classes(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, n_bands: int = BANDS, rows: int = ROWS, block: int = BLOCK, block_docs: int = BLOCK_DOCS, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """(doc_id, k1, k2, h1, h2, class_id, lead1, lead2) for every row of ``docs``; the last two are the key of the set
     that names the class."""
     importable(docs.sparkSession)
     own = written(signed(docs, text, n_bands, rows))
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
-    nodes = written(own.filter("h1 IS NOT NULL").groupBy("h1", "h2").agg(least.alias("x"), F.first("chars").alias("chars"), F.first("bands").alias("bands")).select("h1", "h2", "x.doc_id", "x.text_key", "chars", "bands"))
-    cells = nodes.select("h1", F.explode("bands").alias("band"))
-    # written, so that both sides of the join are plain exchanges, whose hot partitions can be split
-    buckets = written(cells.groupBy("band").agg(F.min("h1").alias("lead"), F.count("*").alias("n")).filter("n > 1").select("band", "lead"))
-    near = components(cells.join(buckets, "band").filter("h1 <> lead").select(F.col("h1").alias("a"), F.col("lead").alias("b")))
-    members = written(nodes.drop("bands").join(near.select(F.col("node").alias("h1"), F.col("label").alias("group")), "h1"))
-    sizes = members.groupBy("group").agg(F.sum("chars").alias("c"), F.count("*").alias("n")).select("group", F.expr(f"cast(greatest(1, ceil(c / {block}D), ceil(n / {block_docs}D)) AS int)").alias("blocks"))
-    # a row for each pair of blocks that a document's block takes part in: one for all but the largest groups
-    pairs = "transform(sequence(0, blocks - 1), o -> struct(least(o, b) AS i, greatest(o, b) AS j))"
-    tasks = members.join(sizes, "group").withColumn("b", F.expr("cast(pmod(xxhash64(h1, 7), blocks) AS int)")).withColumn("t", F.explode(F.expr(pairs))).select("group", "blocks", "t.i", "t.j", "b", "h1", "h2", "doc_id", "text_key")
-    texts = hash_join(with_key(docs, text), members.select("text_key").distinct(), ["text_key"], "left_semi", 500_000).groupBy("text_key").agg(F.first(text).alias("_text"))
-    met = tasks.join(texts, "text_key").repartition("group", "i", "j").groupBy("group", "i", "j")
-    found = written(met.applyInArrow(lambda t: verified(t, threshold), "blocks int, h1 long, h2 long, doc_id long, r1 long, r2 long, root_id long"))
-    small = found.filter("blocks = 1").select("h1", "h2", F.col("root_id").alias("class_id"), F.col("r1").alias("lead1"), F.col("r2").alias("lead2"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2"))
+    nodes = own.filter("h1 IS NOT NULL").groupBy("h1", "h2").agg(least.alias("x"), F.first("chars").alias("chars"), F.first("bands").alias("bands"))
+    nodes = written(nodes.select(F.struct("h1", "h2").alias("node"), "x.doc_id", "x.k1", "x.k2", "chars", "bands"))
+    cells = nodes.select("node", F.explode("bands").alias("band"))
+    # written, so that both sides of the join are plain exchanges, whose hot partitions can be split; and by exchange at every size
+    buckets = written(cells.groupBy("band").agg(F.min("node").alias("lead"), F.count("*").alias("n")).filter("n > 1").select("band", "lead"))
+    met = written(cells.join(buckets.hint("merge"), "band"))
+    near = components(met.filter("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")))
+    leads = met.groupBy("node").agg(F.min("lead").alias("lead"))
+    members = nodes.drop("bands").join(near.withColumnRenamed("label", "group"), "node").join(leads, "node")
+    members = written(blocks_of(members, block, block_docs, least_docs))
+    # pairs of blocks that share a band; one for all but the largest groups
+    cut = members.filter("blocks > 1").select("group", "b", "node")
+    shared = met.join(cut, "node").groupBy("group", "band").agg(F.array_sort(F.collect_set("b")).alias("bs"))
+    pairs = shared.select("group", F.explode("bs").alias("i"), "bs").select("group", "i", F.explode(F.expr("filter(bs, x -> x >= i)")).alias("j"))
+    pairs = pairs.distinct().select("group", F.explode(F.expr("if(i = j, array(struct(i AS b, i, j)), array(struct(i AS b, i, j), struct(j AS b, i, j)))")).alias("x")).select("group", "x.*")
+    rest = ["group", "blocks", "i", "j", "b", "node", "doc_id", "k1", "k2"]
+    tasks = members.filter("blocks = 1").withColumns({"i": F.lit(0), "j": F.lit(0)}).select(*rest).union(members.filter("blocks > 1").join(pairs, ["group", "b"]).select(*rest))
+    # the text of a set is that of the row that names it
+    known = lambda d: d.withColumn("_none", F.col("doc_id").isNull()).withColumn("_id", F.coalesce("doc_id", F.lit(0))).drop("doc_id")
+    at = ["_none", "_id", "k1", "k2"]
+    texts = hash_join(known(with_key(docs, text)), known(members).select(*at).distinct(), at, "left_semi", SENT).groupBy(*at).agg(F.first(text).alias("_text"))
+    met = known(tasks).join(texts, at).withColumn("doc_id", F.expr("if(_none, null, _id)")).drop("_none", "_id", "k1", "k2").repartition("group", "i", "j").groupBy("group", "i", "j")
+    found = written(met.applyInArrow(lambda t: verified(t, threshold), "blocks int, node struct<h1:long,h2:long>, doc_id long, root struct<h1:long,h2:long>, root_id long"))
+    small = found.filter("blocks = 1").select("node", F.col("root_id").alias("class_id"), "root")
     large = found.filter("blocks > 1")
     if not large.isEmpty():
-        label = components(large.filter("h1 <> r1").select(F.col("h1").alias("a"), F.col("r1").alias("b")))
-        one = large.select("h1", "h2", "doc_id").distinct().join(label.withColumnRenamed("node", "h1"), "h1")
-        lead = one.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")).alias("x")).select("label", F.col("x.doc_id").alias("class_id"), F.col("x.h1").alias("lead1"), F.col("x.h2").alias("lead2"))
-        small = small.union(one.join(lead, "label").select("h1", "h2", "class_id", "lead1", "lead2"))
-    named = written(nodes.select("h1", "h2", F.col("doc_id").alias("_id")).join(small, ["h1", "h2"], "left").select("h1", "h2", F.expr("if(lead1 IS NULL, _id, class_id)").alias("class_id"), F.coalesce("lead1", "h1").alias("lead1"), F.coalesce("lead2", "h2").alias("lead2")))
-    d = own.drop("bands", "chars").join(named, ["h1", "h2"], "left")
-    return d.select("doc_id", "text_key", "h1", "h2", F.expr("if(h1 IS NULL, doc_id, class_id)").alias("class_id"), "lead1", "lead2")
+        label = components(large.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+        one = large.select("node", "doc_id").distinct().join(label, "node")
+        lead = one.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("x")).select("label", F.col("x.doc_id").alias("class_id"), F.col("x.node").alias("root"))
+        small = small.union(one.join(lead, "label").select("node", "class_id", "root"))
+    named = nodes.select("node", F.col("doc_id").alias("_own")).join(small, "node", "left")
+    named = written(named.select("node.h1", "node.h2", F.expr("if(root IS NULL, _own, class_id)").alias("class_id"), F.coalesce("root.h1", "node.h1").alias("lead1"), F.coalesce("root.h2", "node.h2").alias("lead2")))
+    d = own.drop("bands", "chars").join(named.hint("merge"), ["h1", "h2"], "left")
+    return d.select("doc_id", "k1", "k2", "h1", "h2", F.expr("if(h1 IS NULL, doc_id, class_id)").alias("class_id"), "lead1", "lead2")
 
 
 def verified(task: pa.Table, threshold: float) -> pa.Table:
     """For each document of a block (or of two) the least member of its class among them."""
-    rows = sorted(task.to_pylist(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["h1"], r["h2"]))
+    rows = sorted(task.to_pylist(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["node"]["h1"], r["node"]["h2"]))
     sets = Sets(len(rows))
     if rows[0]["i"] == rows[0]["j"]:
         for a, b in links([r["_text"] or "" for r in rows], None, threshold):
@@ -244,13 +280,29 @@ def verified(task: pa.Table, threshold: float) -> pa.Table:
         for a, b in links(*([rows[k]["_text"] or "" for k in x] for x in at), threshold):
             sets.join(at[0][a], at[1][b])
     roots = [rows[sets.find(k)] for k in range(len(rows))]
-    return pa.table({"blocks": pa.array([r["blocks"] for r in rows], pa.int32()), **{n: pa.array([r[n] for r in rows], pa.int64()) for n in ("h1", "h2", "doc_id")}, "r1": pa.array([r["h1"] for r in roots], pa.int64()), "r2": pa.array([r["h2"] for r in roots], pa.int64()), "root_id": pa.array([r["doc_id"] for r in roots], pa.int64())})
+    key = pa.struct([("h1", pa.int64()), ("h2", pa.int64())])
+    out = pa.table({"blocks": pa.array([r["blocks"] for r in rows], pa.int32()), "node": pa.array([r["node"] for r in rows], key), "doc_id": pa.array([r["doc_id"] for r in rows], pa.int64()), "root": pa.array([r["node"] for r in roots], key), "root_id": pa.array([r["doc_id"] for r in roots], pa.int64())})
+    if len(rows) > 100:
+        tidy()
+    return out
 
 
 def near_dedup_stage(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each class, its least id; documents without words all stay."""
+    """``docs`` with one document of each class, its least id; all rows of documents without words stay, however often they come.
+    Of rows equal in id and text one stays, whichever; a null id is an id of its own."""
     found = classes(docs)
-    keep = written(found.filter("h1 IS NULL OR (doc_id <=> class_id AND h1 = lead1 AND h2 = lead2)").groupBy("lead1", "lead2", F.expr("if(h1 IS NULL, text_key, 0)").alias("k"), F.expr("if(h1 IS NULL, doc_id, 0)").alias("k2")).agg(F.min(F.struct("doc_id", "text_key")).alias("x")).select("x.*"))
-    d = docs.select(F.struct("*").alias("_row"), F.xxhash64(F.lit(3), "text").alias("text_key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_id"))
-    d = hash_join(d, keep.select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), "text_key"), ["_id", "text_key"], "left_semi", 500_000)
-    return d.dropDuplicates(["_id", "text_key"]).select("_row.*")
+    at = ["_none", "_id", "k1", "k2"]
+    found = found.select(F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id"), "k1", "k2", "h1", "h2", "doc_id", "class_id", "lead1", "lead2").filter("h1 IS NOT NULL")
+    rows = written(found.groupBy(*at).agg(F.count("*").alias("n"), F.max(F.expr("doc_id <=> class_id AND h1 = lead1 AND h2 = lead2")).alias("leads"), F.first("lead1").alias("lead1"), F.first("lead2").alias("lead2")))
+    # texts of one set may be several, of one id too: the least key stays
+    keep = rows.filter("leads").groupBy("lead1", "lead2").agg(F.min(F.struct(*at)).alias("x")).select("x.*")
+    marked = written(rows.join(keep.withColumn("_kept", F.lit(True)), at, "left").select(*at, "n", F.expr("_kept IS NOT NULL").alias("_kept")))
+    d = docs.select(F.struct("*").alias("_row"), F.col("doc_id").isNull().alias("_none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), *key_of("text"))
+    left = hash_join(d, marked.filter("NOT _kept").select(*at), at, "left_anti", SENT)
+    twice = marked.filter("_kept AND n > 1").select(*at)
+    if twice.isEmpty():
+        return left.select("_row.*")
+    # rows that come several times: only those are exchanged to leave one of each
+    twice = written(twice)
+    again = hash_join(left, twice, at, "left_semi", SENT).dropDuplicates(at)
+    return hash_join(left, twice, at, "left_anti", SENT).select("_row.*").union(again.select("_row.*"))
