@@ -1,18 +1,24 @@
 """Toxicity: a counterfactually regularised classifier.
 
-A text's features are the words it contains and their pieces of six characters, hashed. Weights minimise logistic loss on
-labelled texts, plus an L1 term, plus ``fairness`` times the squared change of score when the identity terms of a text are
-swapped for others of their kind. So a group's mere mention cannot carry weight, and neutral mentions score as without it.
-The terms are ``identity``: by default a list in English, German, Spanish and French. A text without one of them has no
-counterfactual; where no labelled text has one, what is fitted is a plain logistic classifier with the L1 term.
-
-Fitting takes a bounded sample: at most about ``most_rows`` labelled texts by a hash of their id (all of them while there
-are fewer), whose features, not texts, come to the driver. Among the features the ``most_features`` are fitted whose rates differ
-most between labels. Scoring is one narrow pass over whole texts: no exchange, and what each task carries is the weights.
-
-Defined results: null and empty texts have no features and score the base rate; a null label is left out and a document labelled
-twice counts as toxic if one label says so; repeated rows score alike; without both labels to learn from every score is
-the smoothed base rate; an empty table gives an empty result; other columns, whatever their names, are no input.
+A text's features are the words it contains, their pieces of six characters, and how many different words begin with the same
+four or six characters (at least 2, 4 or 8 of them), all known by 64-bit hashes. Weights minimise logistic loss on labelled texts,
+plus an L1 term, plus ``fairness`` times the squared change of score when the identity terms of a text are swapped for others of
+their kind. A feature that no learned text has can have no weight, so a mention that only some texts' label goes with cannot carry
+one, and neutral mentions score as without it. (Terms of a kind that all go with the label alike can: swapping does not tell.) The terms are ``identity``:
+by default a list in English, German, Spanish and French. A text without one of them has no counterfactual; where no labelled
+text has one, what is fitted is a plain logistic classifier with the L1 term, and ``Fit.pairs`` says so.
+
+Fitting takes a bounded sample: at most about ``most_rows`` labelled texts, and fewer if their features are more than
+``most_bytes``, by a hash of their id (all of them while there are fewer), whose features, not texts, come to the driver. All
+features of the sample take part: the problem is solved on the features that can have a weight, and those are found by the
+optimality conditions, which are tested on every feature until none is violated. A feature of at most ``l1`` times the sample's
+rows meets them at weight 0 whatever the rest does, unless a counterfactual changes it. Scoring is one narrow pass over whole
+texts: no exchange, and what each task carries is the weights.
+
+Defined results: null and empty texts have no features and score the base rate; very long texts count whole; a null label is left
+out and a document labelled twice counts as toxic if one label says so; a document that comes several times under one id is
+learned from each time; repeated rows score alike; without both labels to learn from every score is the smoothed base rate; an
+empty table gives an empty result; other columns, whatever their names, are no input.
 """
 
 from __future__ import annotations
@@ -20,18 +26,21 @@ from __future__ import annotations
 import functools
 import itertools
 import re
-import zlib
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamella.llm.bpe import texts_of
-from lamella.llm.common import hash_join, importable
+from lamella.llm.common import forget, hash_join, importable, lean, written
 
-DIMS, PIECE, MOST_ROWS, MOST_FEATURES = 1 << 20, 6, 12_000, 4096
+PIECE, STEMS, LEVELS = 6, (4, 6), (2, 4, 8)
+MOST_ROWS, MOST_BYTES = 12_000, 64 << 20
 FAIRNESS, L1, STEPS = 10.0, 2e-4, 400
 # Identity terms by kind; a term is swapped for the next of its kind.
 IDENTITY = (
@@ -96,14 +105,32 @@ WORD = re.compile(r"\w+")
 
 
 def _hash(s: str) -> int:
-    return zlib.crc32(s.encode("utf-8", "surrogatepass")) % DIMS
+    return xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass")) >> 1
 
 
-@functools.lru_cache(maxsize=200_000)
-def token_features(token: str) -> tuple[int, ...]:
-    """Features of one lower-case token: its words, and pieces of the longer ones."""
-    words = WORD.findall(token)
-    return tuple({_hash(x) for w in words for x in (w, *("#" + w[i : i + PIECE] for i in range(len(w) - PIECE + 1)))})
+def words_of(token: str) -> list[str]:
+    return WORD.findall(token)
+
+
+def plain_features(word: str) -> Iterator[int]:
+    """A word and, of longer ones, its pieces."""
+    yield _hash(word)
+    for i in range(len(word) - PIECE + 1):
+        yield _hash("#" + word[i : i + PIECE])
+
+
+def stems(word: str) -> list[str]:
+    return [word[:k] for k in STEMS if len(word) > k]
+
+
+def stem_features(counts: Iterable[tuple[str, int]]) -> Iterator[int]:
+    """Of (stem, number of different words): each level that is reached."""
+    return (_hash(f"^{stem}^{n}") for stem, k in counts for n in LEVELS if k >= n)
+
+
+@functools.lru_cache(maxsize=100_000)
+def _word(word: str) -> tuple[int, ...]:
+    return tuple(plain_features(word))
 
 
 def swapper(identity: tuple[tuple[str, ...], ...] = IDENTITY) -> Callable[[str], str]:
@@ -115,23 +142,37 @@ def swapper(identity: tuple[tuple[str, ...], ...] = IDENTITY) -> Callable[[str],
 swapped = swapper()
 
 
+def _features(tokens: set[str]) -> np.ndarray:
+    words = set(itertools.chain.from_iterable(map(words_of, tokens)))
+    own = set(itertools.chain.from_iterable(map(_word, words)))
+    own.update(stem_features(Counter(itertools.chain.from_iterable(map(stems, words))).items()))
+    return np.array(sorted(own), dtype=np.int64)
+
+
 def features(text: str, swapped: Callable[[str], str] = swapped) -> tuple[np.ndarray, np.ndarray | None]:
     """(features of the text, those of its counterfactual or None if it names no group)."""
     tokens = set(text.lower().split())
-    own = set(itertools.chain.from_iterable(map(token_features, tokens)))
     other = {swapped(t) for t in tokens}
-    there = np.array(sorted(own), dtype=np.int32)
-    return there, None if other == tokens else np.array(sorted(set(itertools.chain.from_iterable(map(token_features, other)))), dtype=np.int32)
+    return _features(tokens), None if other == tokens else _features(other)
 
 
 class Rows:
     """Sparse 0/1 rows."""
 
     def __init__(self, rows: list[np.ndarray], width: int) -> None:
-        self.ids = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-        self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        self.ids = np.concatenate(rows).astype(np.int32) if rows else np.zeros(0, np.int32)
+        self.row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
         self.n, self.width = len(rows), width
 
+    def only(self, columns: np.ndarray) -> Rows:
+        """The same rows with some of the columns, renumbered."""
+        where = np.full(self.width, -1, np.int32)
+        where[columns] = np.arange(len(columns), dtype=np.int32)
+        out = Rows([], len(columns))
+        ids = where[self.ids]
+        out.ids, out.row, out.n = ids[ids >= 0], self.row[ids >= 0], self.n
+        return out
+
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights=w[self.ids], minlength=self.n)
 
@@ -139,59 +180,106 @@ class Rows:
         return np.bincount(self.ids, weights=r[self.row], minlength=self.width)
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray | None, int]], fairness: float = FAIRNESS, l1: float = L1, steps: int = STEPS, most_features: int = MOST_FEATURES) -> tuple[dict[int, float], float]:
-    """({feature: weight}, bias) from (features, counterfactual features or None, label)."""
+class Fit(NamedTuple):
+    weights: dict[int, float]
+    bias: float
+    #: counterfactual pairs that took part, and features that could have a weight
+    pairs: int
+    features: int
+
+
+class Problem:
+    """The objective over all features of the sample."""
+
+    def __init__(self, own: list[np.ndarray], pairs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, fairness: float) -> None:
+        self.y, self.n, self.fairness = y, len(y), fairness
+        width = 1 + max([-1, *(int(r.max()) for r in own if len(r)), *(int(r.max()) for p in pairs for r in p if len(r))])
+        self.x, self.a, self.b = Rows(own, width), Rows([p[0] for p in pairs], width), Rows([p[1] for p in pairs], width)
+        self.width = width
+
+    def only(self, columns: np.ndarray) -> Problem:
+        out = object.__new__(Problem)
+        out.y, out.n, out.fairness, out.width = self.y, self.n, self.fairness, len(columns)
+        out.x, out.a, out.b = self.x.only(columns), self.a.only(columns), self.b.only(columns)
+        return out
+
+    def gradient(self, w: np.ndarray) -> np.ndarray:
+        """Of the smooth part, at weights and the bias behind them."""
+        r = 1 / (1 + np.exp(-(self.x.dot(w[:-1]) + w[-1]))) - self.y
+        g = np.append(self.x.back(r), r.sum()) / self.n
+        if self.a.n:
+            d = self.a.dot(w[:-1]) - self.b.dot(w[:-1])
+            g[:-1] += 2 * self.fairness * (self.a.back(d) - self.b.back(d)) / self.n
+        return g
+
+    def step(self) -> float:
+        """A step that cannot overshoot, from power iteration on the quadratic bound."""
+        v, length = np.ones(self.width + 1), 1.0
+        for _ in range(20):
+            u = self.x.dot(v[:-1]) + v[-1]
+            g = np.append(self.x.back(u), u.sum()) / (4 * self.n)
+            if self.a.n:
+                d = self.a.dot(v[:-1]) - self.b.dot(v[:-1])
+                g[:-1] += 2 * self.fairness * (self.a.back(d) - self.b.back(d)) / self.n
+            length = np.linalg.norm(g)
+            v = g / max(length, 1e-12)
+        return 1 / (1.1 * length)
+
+    def solved(self, w: np.ndarray, l1: float, steps: int, close: float = 1e-4) -> np.ndarray:
+        """Accelerated proximal gradient from ``w``, restarted where it turns back, until no coordinate moves by ``close``."""
+        eta, look, t = self.step(), w, 1.0
+        for _ in range(steps):
+            nxt = look - eta * self.gradient(look)
+            nxt[:-1] = np.sign(nxt[:-1]) * np.maximum(np.abs(nxt[:-1]) - eta * l1, 0)
+            t2 = 1.0 if (look - nxt) @ (nxt - w) > 0 else (1 + np.sqrt(1 + 4 * t * t)) / 2
+            look = nxt + (t - 1) / t2 * (nxt - w) if t2 > 1 else nxt
+            moved, w, t = np.abs(nxt - w).max(), nxt, t2
+            if moved < close:
+                break
+        return w
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray | None, int]], fairness: float = FAIRNESS, l1: float = L1, steps: int = STEPS, first: int = 4096) -> Fit:
+    """The classifier from (features, counterfactual features or None, label). ``first``: how many features are tried at first."""
     y = np.array([r[2] for r in rows], dtype=float)
     positive, n = y.sum(), len(y)
     bias = float(np.log((positive + 0.5) / (n - positive + 0.5)))
     if not positive or positive == n:
-        return {}, min(bias, -0.01) if not positive else bias
-    seen, yes = np.zeros(DIMS, np.int64), np.zeros(DIMS, np.int64)
-    for i in range(0, n, 500):  # in slices: the driver has little memory beside the features
-        part = rows[i : i + 500]
-        seen += np.bincount(np.concatenate([r[0] for r in part]), minlength=DIMS)
-        yes += np.bincount(np.concatenate([r[0] if r[2] else r[0][:0] for r in part]), minlength=DIMS)
-    base = positive / n
-    z = np.abs(yes - seen * base) / np.sqrt(seen * base * (1 - base) + 1)
-    top = np.argsort(-z, kind="stable")[:most_features]
-    top = top[seen[top] >= 3]
-    where = np.full(DIMS, -1)
-    where[top] = np.arange(len(top))
-    pick = lambda x: (k := where[x])[k >= 0]
-    x = Rows([pick(r[0]) for r in rows], len(top))
-    pairs = [r for r in rows if r[1] is not None]
-    a, b = Rows([pick(r[0]) for r in pairs], len(top)), Rows([pick(r[1]) for r in pairs], len(top))
-    # accelerated proximal gradient; the step comes from power iteration on the quadratic bound
-    v = np.ones(len(top) + 1)
-    for _ in range(20):
-        u = x.dot(v[:-1]) + v[-1]
-        g = np.append(x.back(u), u.sum()) / (4 * n)
-        if pairs:
-            d = a.dot(v[:-1]) - b.dot(v[:-1])
-            g[:-1] += 2 * fairness * (a.back(d) - b.back(d)) / n
-        length = np.linalg.norm(g)
-        v = g / max(length, 1e-12)
-    w = look = np.append(np.zeros(len(top)), bias)
-    t = 1.0
-    for _ in range(steps):
-        r = 1 / (1 + np.exp(-(x.dot(look[:-1]) + look[-1]))) - y
-        g = np.append(x.back(r), r.sum()) / n
-        if pairs:
-            d = a.dot(look[:-1]) - b.dot(look[:-1])
-            g[:-1] += 2 * fairness * (a.back(d) - b.back(d)) / n
-        nxt = look - g / (1.1 * length)
-        nxt[:-1] = np.sign(nxt[:-1]) * np.maximum(np.abs(nxt[:-1]) - l1 / (1.1 * length), 0)
-        t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        look, w, t = nxt + (t - 1) / t2 * (nxt - w), nxt, t2
-    return {int(top[k]): float(w[k]) for k in np.flatnonzero(w[:-1])}, float(w[-1])
-
-
-def sample(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, identity: tuple[tuple[str, ...], ...] = IDENTITY) -> list[tuple]:
-    """Features and label of at most about ``most_rows`` labelled documents, for the driver."""
+        return Fit({}, min(bias, -0.01) if not positive else bias, 0, 0)
+    # a feature of so few texts that its gradient cannot reach l1 has weight 0: they go by upper bounds of their counts
+    some, slots = int(l1 * n), 1 << 22
+    counts = np.zeros(slots, np.uint16)
+    for r in rows:
+        np.add.at(counts, r[0] % slots, counts[r[0] % slots] < 60_000)
+    changed = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.setxor1d(r[0], r[1]) for r in rows if r[1] is not None)]))
+    own = [r[0][(counts[r[0] % slots] > some) | np.isin(r[0], changed)] for r in rows]
+    names = np.unique(np.concatenate([np.zeros(0, np.int64), *own]))  # what no learned text has gets no weight
+    at = lambda f: (k := np.searchsorted(names, f))[names[np.minimum(k, len(names) - 1)] == f].astype(np.int32) if len(names) else np.zeros(0, np.int32)
+    pairs = [(at(np.setdiff1d(r[0], r[1])), at(np.setdiff1d(r[1], r[0]))) for r in rows if r[1] is not None]  # what both have cancels out
+    for i, r in enumerate(own):  # in place: the driver has little memory beside the features
+        own[i] = at(r)
+    whole = Problem(own, pairs, y, fairness)
+    del own
+    w = np.append(np.zeros(whole.width), bias)
+    active = np.sort(np.argsort(-np.abs(whole.gradient(w)[:-1]), kind="stable")[:first])
+    while len(active):
+        part = whole.only(active).solved(np.append(w[active], w[-1]), l1, steps)
+        w = np.zeros(whole.width + 1)
+        w[active], w[-1] = part[:-1], part[-1]
+        worse = np.setdiff1d(np.flatnonzero(np.abs(whole.gradient(w)[:-1]) > 1.01 * l1), active)
+        if not len(worse):
+            break
+        active = np.union1d(active, worse)
+    return Fit({int(names[k]): float(w[k]) for k in np.flatnonzero(w[:-1])}, float(w[-1]), len(pairs), len(names))
+
+
+def sample(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, identity: tuple[tuple[str, ...], ...] = IDENTITY, most_bytes: int = MOST_BYTES) -> list[tuple]:
+    """Features and label of at most about ``most_rows`` labelled documents and ``most_bytes`` of features, for the driver."""
     one = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter("toxic IN (0, 1)")
     n = one.count()
+    part = F.expr("pmod(xxhash64(doc_id, 11), 1000000)")
     if n > most_rows:
-        one = one.filter(F.expr(f"pmod(xxhash64(doc_id, 11), 1000000) < {1_000_000 * most_rows // n}"))
+        one = one.filter(part < 1_000_000 * most_rows // n)
     picked = hash_join(docs.select("doc_id", "text"), one, ["doc_id"], "inner", 50_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,9 +288,43 @@ def sample(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, ident
             found = [features(t, swap) for t in texts_of(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic").cast(pa.int32()), pa.array([a.tobytes() for a, _ in found], pa.binary()), pa.array([None if b is None else b.tobytes() for _, b in found], pa.binary())], ["doc_id", "toxic", "own", "other"])
 
-    rows = picked.mapInArrow(run, "doc_id long, toxic int, own binary, other binary").collect()  # bounded by most_rows
-    array = lambda x: None if x is None else np.frombuffer(x, np.int32)
-    return [(array(r["own"]), array(r["other"]), r["toxic"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["own"]))]
+    found = written(picked.mapInArrow(lean(run), "doc_id long, toxic int, own binary, other binary"))
+    size = found.agg(F.sum(F.expr("octet_length(own) + coalesce(octet_length(other), 0)"))).first()[0] or 0
+    few = found if size <= most_bytes else found.filter(F.expr("pmod(xxhash64(doc_id, 12), 1000000)") < 1_000_000 * most_bytes // size)
+    array = lambda x: None if x is None else np.frombuffer(x, np.int64)
+    rows = [(r["doc_id"], array(r["own"]), array(r["other"]), r["toxic"]) for r in few.collect()]  # bounded by most_rows and most_bytes
+    forget(found)
+    return [r[1:] for r in sorted(rows, key=lambda r: (r[0], r[1].tobytes()))]
+
+
+class Scorer:
+    """Log odds of texts; what a word brings is looked up once while it stays in a worker's cache."""
+
+    def __init__(self, weights: dict[int, float], bias: float, keep: int = 200_000) -> None:
+        self.weights, self.bias, self.keep = weights, bias, keep
+        self.known: dict[str, tuple] = {}
+
+    def word(self, word: str) -> tuple[tuple[int, ...], tuple[str, ...]]:
+        """(its features that have a weight, its stems that could have one)."""
+        return tuple(k for k in plain_features(word) if k in self.weights), tuple(s for s in stems(word) if any(k in self.weights for k in stem_features([(s, LEVELS[-1])])))
+
+    def token(self, token: str) -> tuple[tuple[int, ...], tuple[tuple[str, tuple[str, ...]], ...]]:
+        found = [(w, *self.word(w)) for w in words_of(token)]
+        return tuple({k for x in found for k in x[1]}), tuple((w, s) for w, _, s in found if s)
+
+    def __call__(self, text: str) -> float:
+        tokens = set(text.lower().split())
+        if len(self.known) > self.keep:
+            self.known.clear()
+        for t in tokens.difference(self.known):
+            self.known[t] = self.token(t)
+        there, counted = set(), {}
+        for t in tokens:
+            own, stemmed = self.known[t]
+            there.update(own)
+            counted.update(stemmed)
+        there.update(k for k in stem_features(Counter(itertools.chain.from_iterable(counted.values())).items()) if k in self.weights)
+        return self.bias + sum(self.weights[k] for k in sorted(there))
 
 
 def scored(docs: DataFrame, weights: dict[int, float], bias: float, text: str = "text") -> DataFrame:
@@ -212,24 +334,12 @@ def scored(docs: DataFrame, weights: dict[int, float], bias: float, text: str =
     names = [c for c in docs.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple] = {}
+        odds = Scorer(weights, bias)
         for batch in batches:
-            out = []
-            for t in texts_of(batch.column(text)):
-                tokens = set(t.lower().split())
-                for w in tokens.difference(known):
-                    known[w] = tuple(k for k in _plain_features(w) if k in weights)
-                there = set().union(*filter(None, map(known.__getitem__, tokens)))
-                out.append(bias + sum(weights[k] for k in sorted(there)))
-                if len(known) > 300_000:
-                    known.clear()
-            score = 1 / (1 + np.exp(-np.clip(np.array(out, dtype=float), -30, 30)))
+            score = 1 / (1 + np.exp(-np.clip(np.array([odds(t) for t in texts_of(batch.column(text))], dtype=float), -30, 30)))
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(score, pa.float64())], [*names, "score"])
 
-    return docs.mapInArrow(run, docs.drop(text).withColumn("score", F.lit(0.0)).schema)
-
-
-_plain_features = token_features.__wrapped__
+    return docs.mapInArrow(lean(run), docs.drop(text).withColumn("score", F.lit(0.0)).schema)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -242,6 +352,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, ide
     importable(docs.sparkSession)
     learn = labels.filter(~held_out(F.col("doc_id")))
     rows = sample(docs, learn, most_rows, identity)
-    weights, bias = fit(rows) if rows else ({}, -0.01)
-    d = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), weights, bias)
+    found = fit(rows) if rows else Fit({}, -0.01, 0, 0)
+    d = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), found.weights, found.bias)
     return d.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", F.expr("if(score >= 0.5, 1, 0)").alias("predicted"))
