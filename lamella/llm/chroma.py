@@ -6,16 +6,19 @@ are read at every frame, each quantised to two bits of Gray code and packed into
 
 Two recordings match at an offset if at most ``most_errors`` of the bits of their overlap differ and chance does not explain
 it: ``hits`` items are equal there, or the differing bits are at most ``allowed`` for an overlap of that length, with or
-without an equal item. Of several such offsets the one with most equal items is told, then the nearest. Recordings with
-equal fingerprints fold into one class first, so copies are never expanded into pairs; the search takes a stated query set
-against all classes.
+without an equal item. Where both are silent the overlap does not count, neither its items as equal nor its length. So an overlap
+with more than ``most_errors`` of its bits changed is never a match, however long; one of fewer than about 256 items with more
+than ``allowed`` is one only with ``hits`` equal items. Of several such offsets the one with most equal items is told, then the
+nearest, then the greater. Recordings with equal fingerprints fold into one class first, so copies are never expanded into pairs;
+the search takes a stated query set against all classes.
 
 Fingerprints are one narrow pass. Offsets with ``hits`` equal items come from an inverted list (position and class only),
 counted with partial aggregation. The differing bits of every query and class at every offset are read from the correlation
 of their bits, in blocks of classes against blocks of queries: exact, and its cost is the product of queries and classes.
 
 Defined results: a null, empty or short recording has no items and matches nothing; fewer than four items are told from chance
-by no number of differing bits and match only their copies, by class; null ids take no part in the search but
+by no number of differing bits and match only their copies, by class; rests and stretches of silence differ from sound like any
+other item, but equal ones are no evidence; a very long recording is a block of its own; null ids take no part in the search but
 are returned as members; repeated rows are members of one class; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.common import importable, written
+from lamella.llm.common import importable, lean, written
 
 RATE, FRAME, HOP = 4000, 1024, 512
 #: (shape, first pitch class, pitch classes, frames): four widths, three heights and five shapes in turn.
@@ -95,26 +98,31 @@ def items(frames: np.ndarray) -> np.ndarray:
     return out.view(np.int32)
 
 
+#: The item of silence: it tells nothing, so it never counts as an equal item.
+SILENT = int(items(np.zeros((SPAN, 12)))[0])
+
+
 def allowed(k: np.ndarray, most_errors: float = MOST_ERRORS) -> np.ndarray:
     """Most differing bits of ``k`` aligned items that chance does not explain; negative where there is no such number."""
     share = np.minimum(most_errors, CHANCE - SIGMAS * SPREAD / np.sqrt(k + MORE))
     return np.where(k < 1, -1, np.floor(share * 32 * k)).astype(np.int64)
 
 
-def compared(a: np.ndarray, b: np.ndarray, o: int) -> tuple[int, int, int]:
-    """(equal items, overlap, differing bits) at an offset."""
+def compared(a: np.ndarray, b: np.ndarray, o: int) -> tuple[int, int, int, int]:
+    """(equal items, overlap, differing bits, items of the overlap that are not silent in both) at an offset."""
     x, y = a[max(o, 0) :], b[max(-o, 0) :]
     k = min(len(x), len(y))
     differ = x[:k] ^ y[:k]
-    return int((differ == 0).sum()), k, int(np.bitwise_count(differ.view(np.uint32)).sum())
+    heard = (differ != 0) | (x[:k] != SILENT)
+    return int((heard & (differ == 0)).sum()), k, int(np.bitwise_count(differ.view(np.uint32)).sum()), int(heard.sum())
 
 
 def align(a: np.ndarray, b: np.ndarray, hits: int = HITS, most_errors: float = MOST_ERRORS) -> tuple[int, int, int, int] | None:
     """(offset, equal items there, overlap, differing bits) of the best offset, tried one by one; None if no offset matches."""
     best = None
     for o in range(1 - len(b), len(a)):
-        same, k, errors = compared(a, b, o)
-        if errors <= allowed(k, most_errors) or (same >= hits and errors <= k * 32 * most_errors):
+        same, k, errors, heard = compared(a, b, o)
+        if errors <= allowed(heard, most_errors) or (same >= hits and errors <= heard * 32 * most_errors):
             best = max(best or (-1,), (same, -abs(o), o, k, errors))
     return best and (best[2], best[0], *best[3:])
 
@@ -170,7 +178,7 @@ def fingerprints(media: DataFrame, key: str, audio: str = "audio", rate: int = R
             rows = [items(chroma(np.frombuffer(x[: len(x) // 2 * 2], "<i2"), rate)) if x else [] for x in batch.column(audio).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(rows, pa.list_(pa.int32()))], [key, "items"])
 
-    return media.select(F.col(key).cast("long").alias(key), audio).mapInArrow(run, f"{key} long, items array<int>")
+    return media.select(F.col(key).cast("long").alias(key), audio).mapInArrow(lean(run), f"{key} long, items array<int>")
 
 
 def rendered(table: DataFrame, key: str, numbers: str, audio: str = "audio") -> DataFrame:
@@ -191,7 +199,7 @@ def rendered(table: DataFrame, key: str, numbers: str, audio: str = "audio") ->
                 out = [None if x is None else sound(x) for x in part.column(numbers).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(key), pa.array(out, pa.binary())], [key, audio])
 
-    return table.select(F.col(key).cast("long").alias(key), numbers).mapInArrow(run, f"{key} long, {audio} binary")
+    return table.select(F.col(key).cast("long").alias(key), numbers).mapInArrow(lean(run), f"{key} long, {audio} binary")
 
 
 def blocks(live: DataFrame, name: str) -> DataFrame:
@@ -209,7 +217,7 @@ def blocks(live: DataFrame, name: str) -> DataFrame:
                 data = items.take(pa.array(take)).flatten().to_numpy().astype("<i4").tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([ids[take]], pa.list_(pa.int64())), pa.array([sizes[take]], pa.list_(pa.int32())), pa.array([data], pa.large_binary()).cast(pa.binary())], [f"{name}_ids", f"{name}_sizes", f"{name}_items"])
 
-    return live.select("class_id", "items").mapInArrow(run, f"{name}_ids array<long>, {name}_sizes array<int>, {name}_items binary")
+    return live.select("class_id", "items").mapInArrow(lean(run), f"{name}_ids array<long>, {name}_sizes array<int>, {name}_items binary")
 
 
 FOUND = "query_class long, class_id long, hits long, near int, offset int, overlap int, bit_errors int"
@@ -228,14 +236,14 @@ def scanned(live: DataFrame, most_errors: float = MOST_ERRORS) -> DataFrame:
             a, b, best = rows_of(row, "q"), rows_of(row, "c"), {}
             for i, j, o in near(a, b, most_errors):
                 if row["q_ids"][i] != row["c_ids"][j]:
-                    same, k, errors = compared(a[i], b[j], o)
-                    if errors <= allowed(k, most_errors):
+                    same, k, errors, heard = compared(a[i], b[j], o)
+                    if errors <= allowed(heard, most_errors):
                         best[i, j] = max(best.get((i, j), (-1,)), (same, -abs(o), o, k, errors))
             if best:
                 yield pa.RecordBatch.from_pylist([dict(zip(kinds.names, (row["q_ids"][i], row["c_ids"][j], *x), strict=True)) for (i, j), x in best.items()], kinds)
 
     kinds = pa.schema([(x.split()[0], {"long": pa.int64(), "int": pa.int32()}[x.split()[1]]) for x in FOUND.split(", ")])
-    return others.repartition(tasks).crossJoin(asked).mapInArrow(run, FOUND)
+    return others.repartition(tasks).crossJoin(asked).mapInArrow(lean(run), FOUND)
 
 
 def search(prints: DataFrame, key: str, is_query: str, hits: int = HITS, most_errors: float = MOST_ERRORS) -> tuple[DataFrame, DataFrame]:
@@ -245,7 +253,7 @@ def search(prints: DataFrame, key: str, is_query: str, hits: int = HITS, most_er
     kinds = written(own.groupBy("_h1", "_h2").agg(F.min(key).alias("class_id"), F.first("items").alias("items"), F.max(F.expr(f"coalesce({is_query}, false)")).alias("asked")))
     members = own.select(key, "_h1", "_h2", F.size("items").alias("n_items")).join(kinds.select("_h1", "_h2", "class_id"), ["_h1", "_h2"]).select(key, F.expr(f"if(n_items = 0, {key}, class_id)").alias("class_id"), "n_items")
     live = kinds.filter("class_id IS NOT NULL AND size(items) > 0")
-    flat = live.select("class_id", "asked", F.posexplode("items").alias("pos", "item"))
+    flat = live.select("class_id", "asked", F.posexplode("items").alias("pos", "item")).filter(F.col("item") != SILENT)
     asked = flat.filter("asked").select(F.col("class_id").alias("query_class"), F.col("pos").alias("_q"), "item")
     met = asked.join(flat.select("class_id", "pos", "item"), "item").filter("query_class <> class_id")
     counts = met.groupBy("query_class", "class_id", F.expr("_q - pos").alias("offset")).agg(F.count("*").alias("hits")).filter(F.col("hits") >= hits)
@@ -254,7 +262,8 @@ def search(prints: DataFrame, key: str, is_query: str, hits: int = HITS, most_er
     d = met_at.join(side("query_class", "_a"), "query_class").join(side("class_id", "_b"), "class_id")
     d = d.withColumn("x", F.expr("transform(x, t -> struct(t.hits AS hits, t.near AS near, t.offset AS offset, cast(least(size(_a) - greatest(t.offset, 0), size(_b) - greatest(-t.offset, 0)) AS int) AS overlap))"))
     # a negative int has its 32 high bits counted too, unless they are cut off
-    d = d.withColumn("x", F.expr("transform(x, t -> struct(t.hits AS hits, t.near AS near, t.offset AS offset, t.overlap AS overlap, aggregate(sequence(0, t.overlap - 1), 0, (s, i) -> s + bit_count((_a[i + greatest(t.offset, 0)] ^ _b[i + greatest(-t.offset, 0)]) & 4294967295L)) AS bit_errors))"))
-    equal = d.select("query_class", "class_id", F.inline(F.expr(f"filter(x, t -> t.bit_errors <= t.overlap * 32 * {most_errors!r}D)")))
+    pair = "_a[i + greatest(t.offset, 0)] {} _b[i + greatest(-t.offset, 0)]"
+    d = d.withColumn("x", F.expr(f"transform(x, t -> struct(t.hits AS hits, t.near AS near, t.offset AS offset, t.overlap AS overlap, aggregate(sequence(0, t.overlap - 1), 0, (s, i) -> s + bit_count(({pair.format('^')}) & 4294967295L)) AS bit_errors, size(filter(sequence(0, t.overlap - 1), i -> NOT ({pair.format('=')} AND _a[i + greatest(t.offset, 0)] = {SILENT}))) AS heard))"))
+    equal = d.select("query_class", "class_id", F.inline(F.expr(f"filter(x, t -> t.bit_errors <= t.heard * 32 * {most_errors!r}D)"))).drop("heard")
     best = equal.union(scanned(live, most_errors)).groupBy("query_class", "class_id").agg(F.max(F.struct("hits", "near", "offset", "overlap", "bit_errors")).alias("x"))
     return members, best.select("query_class", "class_id", "x.offset", "x.hits", "x.overlap", "x.bit_errors")
