@@ -239,24 +239,37 @@ class Problem:
         return w
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray | None, int]], fairness: float = FAIRNESS, l1: float = L1, steps: int = STEPS, first: int = 4096) -> Fit:
-    """The classifier from (features, counterfactual features or None, label). ``first``: how many features are tried at first."""
-    y = np.array([r[2] for r in rows], dtype=float)
+def fit(rows: Iterable[tuple[np.ndarray, np.ndarray | None, int]], fairness: float = FAIRNESS, l1: float = L1, steps: int = STEPS, first: int = 4096) -> Fit:
+    """The classifier from (features, counterfactual features or None, label), which are gone through twice and in one order.
+    ``first``: how many features are tried at first."""
+    slots = 1 << 22
+    counts, labels, changed = np.zeros(slots, np.uint16), [], [np.zeros(0, np.int64)]
+    for r in rows:
+        at = np.unique(r[0] % slots)
+        counts[at] += counts[at] < 60_000
+        labels.append(r[2])
+        if r[1] is not None:
+            changed.append(np.setxor1d(r[0], r[1]))
+    y = np.array(labels, dtype=float)
     positive, n = y.sum(), len(y)
+    if not n:
+        return Fit({}, -0.01, 0, 0)
     bias = float(np.log((positive + 0.5) / (n - positive + 0.5)))
     if not positive or positive == n:
         return Fit({}, min(bias, -0.01) if not positive else bias, 0, 0)
-    # a feature of so few texts that its gradient cannot reach l1 has weight 0: they go by upper bounds of their counts
-    some, slots = int(l1 * n), 1 << 22
-    counts = np.zeros(slots, np.uint16)
+    # a feature of so few texts that its gradient cannot reach l1 has weight 0: they go by upper bounds of their counts, before the
+    # others are gathered, as the driver has little memory
+    changed = np.unique(np.concatenate(changed))
+    kept = lambda f: f[(counts[f % slots] > int(l1 * n)) | np.isin(f, changed)]
+    own, swaps = [], []
     for r in rows:
-        np.add.at(counts, r[0] % slots, counts[r[0] % slots] < 60_000)
-    changed = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.setxor1d(r[0], r[1]) for r in rows if r[1] is not None)]))
-    own = [r[0][(counts[r[0] % slots] > some) | np.isin(r[0], changed)] for r in rows]
+        own.append(kept(r[0]))
+        if r[1] is not None:  # what both have cancels out
+            swaps.append((np.setdiff1d(r[0], r[1]), np.setdiff1d(r[1], r[0])))
     names = np.unique(np.concatenate([np.zeros(0, np.int64), *own]))  # what no learned text has gets no weight
     at = lambda f: (k := np.searchsorted(names, f))[names[np.minimum(k, len(names) - 1)] == f].astype(np.int32) if len(names) else np.zeros(0, np.int32)
-    pairs = [(at(np.setdiff1d(r[0], r[1])), at(np.setdiff1d(r[1], r[0]))) for r in rows if r[1] is not None]  # what both have cancels out
-    for i, r in enumerate(own):  # in place: the driver has little memory beside the features
+    pairs = [(at(a), at(b)) for a, b in swaps]
+    for i, r in enumerate(own):
         own[i] = at(r)
     whole = Problem(own, pairs, y, fairness)
     del own
@@ -273,8 +286,23 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray | None, int]], fairness: float =
     return Fit({int(names[k]): float(w[k]) for k in np.flatnonzero(w[:-1])}, float(w[-1]), len(pairs), len(names))
 
 
-def sample(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, identity: tuple[tuple[str, ...], ...] = IDENTITY, most_bytes: int = MOST_BYTES) -> list[tuple]:
-    """Features and label of at most about ``most_rows`` labelled documents and ``most_bytes`` of features, for the driver."""
+class Sample:
+    """Features and labels of the learned documents, in the order of their ids: read from a scratch table each time."""
+
+    def __init__(self, table: DataFrame, rows: DataFrame) -> None:
+        self.table, self.rows, self.n = table, rows.orderBy("doc_id", "own"), rows.count()
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray | None, int]]:
+        array = lambda x: None if x is None else np.frombuffer(x, np.int64)
+        for r in self.rows.toLocalIterator():  # a partition at a time
+            yield array(r["own"]), array(r["other"]), r["toxic"]
+
+
+def sample(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, identity: tuple[tuple[str, ...], ...] = IDENTITY, most_bytes: int = MOST_BYTES) -> Sample:
+    """Features and label of at most about ``most_rows`` labelled documents and ``most_bytes`` of features."""
     one = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter("toxic IN (0, 1)")
     n = one.count()
     part = F.expr("pmod(xxhash64(doc_id, 11), 1000000)")
@@ -290,27 +318,30 @@ def sample(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, ident
 
     found = written(picked.mapInArrow(lean(run), "doc_id long, toxic int, own binary, other binary"))
     size = found.agg(F.sum(F.expr("octet_length(own) + coalesce(octet_length(other), 0)"))).first()[0] or 0
-    few = found if size <= most_bytes else found.filter(F.expr("pmod(xxhash64(doc_id, 12), 1000000)") < 1_000_000 * most_bytes // size)
-    array = lambda x: None if x is None else np.frombuffer(x, np.int64)
-    rows = [(r["doc_id"], array(r["own"]), array(r["other"]), r["toxic"]) for r in few.collect()]  # bounded by most_rows and most_bytes
-    forget(found)
-    return [r[1:] for r in sorted(rows, key=lambda r: (r[0], r[1].tobytes()))]
+    return Sample(found, found if size <= most_bytes else found.filter(F.expr("pmod(xxhash64(doc_id, 12), 1000000)") < 1_000_000 * most_bytes // size))
 
 
 class Scorer:
-    """Log odds of texts; what a word brings is looked up once while it stays in a worker's cache."""
+    """Log odds of texts; what a token, a piece or a stem brings is looked up once while it stays in a worker's caches."""
 
     def __init__(self, weights: dict[int, float], bias: float, keep: int = 200_000) -> None:
         self.weights, self.bias, self.keep = weights, bias, keep
-        self.known: dict[str, tuple] = {}
-
-    def word(self, word: str) -> tuple[tuple[int, ...], tuple[str, ...]]:
-        """(its features that have a weight, its stems that could have one)."""
-        return tuple(k for k in plain_features(word) if k in self.weights), tuple(s for s in stems(word) if any(k in self.weights for k in stem_features([(s, LEVELS[-1])])))
-
-    def token(self, token: str) -> tuple[tuple[int, ...], tuple[tuple[str, tuple[str, ...]], ...]]:
-        found = [(w, *self.word(w)) for w in words_of(token)]
-        return tuple({k for x in found for k in x[1]}), tuple((w, s) for w, _, s in found if s)
+        self.known: dict[str, tuple | None] = {}
+        self.piece = functools.lru_cache(maxsize=keep)(lambda p: k if (k := _hash("#" + p)) in weights else None)
+        self.stem = functools.lru_cache(maxsize=keep)(lambda s: any(k in weights for k in stem_features([(s, LEVELS[-1])])))
+
+    def token(self, token: str) -> tuple | None:
+        """(features that have a weight, (word, its stems that could have one)s); None if there are none."""
+        own, stemmed = set(), []
+        for w in words_of(token):
+            if (k := _hash(w)) in self.weights:
+                own.add(k)
+            if len(w) >= PIECE:
+                own.update(map(self.piece, [w[i : i + PIECE] for i in range(len(w) - PIECE + 1)]))
+            if some := tuple(filter(self.stem, stems(w))):
+                stemmed.append((w, some))
+        own.discard(None)
+        return (tuple(own), tuple(stemmed)) if own or stemmed else None
 
     def __call__(self, text: str) -> float:
         tokens = set(text.lower().split())
@@ -319,11 +350,11 @@ class Scorer:
         for t in tokens.difference(self.known):
             self.known[t] = self.token(t)
         there, counted = set(), {}
-        for t in tokens:
-            own, stemmed = self.known[t]
+        for own, stemmed in filter(None, map(self.known.__getitem__, tokens)):
             there.update(own)
             counted.update(stemmed)
-        there.update(k for k in stem_features(Counter(itertools.chain.from_iterable(counted.values())).items()) if k in self.weights)
+        if counted:
+            there.update(k for k in stem_features(Counter(itertools.chain.from_iterable(counted.values())).items()) if k in self.weights)
         return self.bias + sum(self.weights[k] for k in sorted(there))
 
 
@@ -352,6 +383,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, ide
     importable(docs.sparkSession)
     learn = labels.filter(~held_out(F.col("doc_id")))
     rows = sample(docs, learn, most_rows, identity)
-    found = fit(rows) if rows else Fit({}, -0.01, 0, 0)
+    found = fit(rows)
+    forget(rows.table)
     d = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), found.weights, found.bias)
     return d.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", F.expr("if(score >= 0.5, 1, 0)").alias("predicted"))
