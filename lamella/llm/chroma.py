@@ -14,7 +14,8 @@ the search takes a stated query set against all classes.
 
 Fingerprints are one narrow pass. Offsets with ``hits`` equal items come from an inverted list (position and class only),
 counted with partial aggregation. The differing bits of every query and class at every offset are read from the correlation
-of their bits, in blocks of classes against blocks of queries: exact, and its cost is the product of queries and classes.
+of their bits, in blocks of classes against blocks of queries, to ``SHORT`` by products of matrices: exact, and its cost is the
+product of queries and classes.
 
 Defined results: a null, empty or short recording has no items and matches nothing; fewer than four items are told from chance
 by no number of differing bits and match only their copies, by class; rests and stretches of silence differ from sound like any
@@ -49,6 +50,8 @@ HITS, MOST_ERRORS = 8, 0.35
 CHANCE, SPREAD, MORE, SIGMAS = 0.424, 0.183, 4.6, 6.5
 #: Rows of a block, and numbers of a correlation that is held at once.
 BLOCK, HELD = 256, 1 << 23
+#: Up to this length transforms are products of matrices, over about as many numbers at once as a core's cache takes.
+SHORT, CACHED = 512, 1 << 18
 
 
 @functools.lru_cache(maxsize=2)
@@ -147,17 +150,69 @@ def spectrum(rows: list[np.ndarray], n: int, first: int, bits: int) -> np.ndarra
     return np.fft.rfft(out, axis=0)
 
 
+@functools.lru_cache(maxsize=8)
+def waves(n: int, offsets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cosines over sines of ``n`` samples, a row for each frequency, and the ways back from either to the first offsets."""
+    f = np.arange(n // 2 + 1)
+    turn = 2 * np.pi * (np.outer(f, np.arange(n)) % n) / n
+    share = np.where(2 * f % n == 0, 1, 2)[:, None] / n
+    even, odd = (np.ascontiguousarray((x * share)[:, :offsets].T, np.float32) for x in (np.cos(turn), np.sin(turn)))
+    return np.concatenate([np.cos(turn), np.sin(turn)]).astype(np.float32), even, odd
+
+
+@functools.lru_cache(maxsize=8)
+def short_spectrum(data: bytes, sizes: tuple[int, ...], n: int, offsets: int, columns: bool) -> np.ndarray:
+    """Frequencies x rows x 96: cosine, sine and negative cosine parts of the rows' bits as -1 and 1, zeros behind their ends;
+    as ``columns`` frequencies x 64 x rows, without the last. A block meets several others in turn, so the last ones are kept."""
+    heard = np.arange(max(sizes)) < np.array(sizes)[:, None]
+    rows = np.zeros(heard.shape, "<u4")
+    rows[heard] = np.frombuffer(data, "<u4")
+    bits = np.unpackbits(np.ascontiguousarray(rows.T).view(np.uint8), axis=1, bitorder="little").reshape(*rows.T.shape, 32).astype(np.float32) * 2 - 1
+    bits[~heard.T] = 0
+    cos, sin = (waves(n, offsets)[0][:, : len(bits)] @ bits.reshape(len(bits), -1)).reshape(2, -1, len(sizes), 32)
+    return np.ascontiguousarray(np.concatenate([cos, sin], axis=2).swapaxes(1, 2)) if columns else np.concatenate([cos, sin, -cos], axis=2)
+
+
+def near_short(a: list[np.ndarray], b: list[np.ndarray], least: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """``near`` for short rows: the correlation at an offset is an even part and an odd one, at the opposite offset their difference."""
+    la, lb = (np.array([len(x) for x in rows]) for rows in (a, b))
+    first = int(np.argmax(np.isfinite(least)))  # offsets of a shorter overlap match nowhere, so these may fold onto each other
+    n, offsets = int(la.max() + lb.max()) - first, int(max(la.max(), lb.max())) - first + 1
+    x, y = (short_spectrum(b"".join(r.tobytes() for r in rows), tuple(map(len, rows)), n, offsets, columns) for rows, columns in ((a, False), (b, True)))
+    _, even_back, odd_back = waves(n, offsets)
+    o = np.arange(offsets)[:, None]
+    one = lambda x: x[:1] if (x == x[0]).all() else x  # noqa: E731  rows of one length share their overlaps
+    step = min(len(a), max(1, CACHED // (len(x) * len(b))))
+    room = [np.empty(k * step * len(b), np.float32) for k in (max(len(x), offsets), offsets, offsets)]
+    for i in range(0, len(a), step):
+        part, size = x[:, i : i + step], one(la[i : i + step])
+        held, even, odd = (r[: len(r) // step * part.shape[1]].reshape(-1, part.shape[1] * len(b)) for r in room)
+        for bits, back, out in ((part[..., :64], even_back, even), (part[..., 32:], odd_back, odd)):
+            np.matmul(bits, y, out=held[: len(x)].reshape(len(x), -1, len(b)))
+            np.matmul(back, held[: len(x)], out=out)
+        for sign, join in ((1, np.add), (-1, np.subtract)):
+            overlap = np.minimum((size - np.maximum(sign * o, 0))[:, :, None], (one(lb) - np.maximum(-sign * o, 0))[:, None, :])
+            found = join(even, odd, out=held[:offsets]).reshape(offsets, -1, len(b)) >= least[np.maximum(overlap, 0)]
+            at, u, v = np.unravel_index(np.flatnonzero(found), found.shape)
+            yield from ((j, k, sign * d) for j, k, d in zip((u + i).tolist(), v.tolist(), at.tolist(), strict=True) if d or sign > 0)
+
+
 def near(a: list[np.ndarray], b: list[np.ndarray], most_errors: float = MOST_ERRORS) -> Iterator[tuple[int, int, int]]:
     """(row of a, row of b, offset) wherever the differing bits are at most ``allowed``, and few more for rounding.
     The correlation at an offset is the number of equal bits less that of differing ones."""
     la, lb = (np.array([len(x) for x in rows]) for rows in (a, b))
+    k = np.arange(min(la.max(), lb.max()) + 1)
+    most = allowed(k, most_errors)
+    least = np.where(most < 0, np.inf, 32 * k - 2 * most - 1 - 1e-4 * k).astype(np.float32)
+    if not np.isfinite(least).any():
+        return
     n = smooth(int(la.max() + lb.max()) - 1)
+    if n <= SHORT:
+        yield from near_short(a, b, least)
+        return
     nb = max(1, min(len(b), HELD // n))
     na = max(1, HELD // (n * nb))
     bits = max(1, min(32, HELD // (n * max(nb, min(na, len(a))))))
-    k = np.arange(min(la.max(), lb.max()) + 1)
-    most = allowed(k, most_errors)
-    least = np.where(most < 0, np.inf, 32 * k - 2 * most - 1 - 1e-4 * k).astype(np.float32)
     o = np.arange(n)
     o = np.where(o < la.max(), o, o - n)
     one = lambda x: x[:1] if (x == x[0]).all() else x  # noqa: E731  rows of one length share their overlaps

@@ -6,6 +6,7 @@ import os
 import random
 import subprocess
 import sys
+import time
 import zipfile
 
 import numpy as np
@@ -310,3 +311,35 @@ def test_silence_is_no_evidence(spark):
     got = {(r.query_class, r.class_id): (r.offset, r.hits, r.overlap, r.bit_errors) for r in matches.collect()}
     assert got == {(i, j): x for i in own if i % 2 == 0 for j in own if j != i and (x := chroma.align(own[i], own[j]))}
     assert set(got) == {(0, 5)} and all(chroma.align(own[i], own[j]) is None for i in range(1, 5) for j in range(1, 5) if i != j)
+
+
+def test_blocks_of_short_recordings_cost_less_than_their_plain_correlation():
+    g = np.random.default_rng(5)
+    a, b = ([g.integers(-(1 << 31), 1 << 31, 48).astype(np.int32) for _ in range(256)] for _ in range(2))
+    b[7], b[9] = a[3].copy(), np.concatenate([a[200][20:], a[201][:20]])
+
+    def plain():
+        x, y = (chroma.spectrum(rows, 96, 0, 32) for rows in (a, b))
+        return np.fft.irfft(x @ y.conj().swapaxes(1, 2), 96, axis=0)
+
+    def seconds(f):
+        start = time.process_time()
+        f()
+        return time.process_time() - start
+
+    found = sorted(chroma.near(a, b))
+    assert found == [(3, 7, 0), (200, 9, 20), (201, 9, -28)]
+    assert min(seconds(lambda: list(chroma.near(a, b))) for _ in range(5)) < 0.75 * min(seconds(plain) for _ in range(5))
+
+
+def test_near_finds_every_offset_at_any_length(monkeypatch):
+    g = np.random.default_rng(6)
+    for longest in (3, 9, 60, 300):
+        a = [g.integers(-(1 << 31), 1 << 31, g.integers(1, longest + 1)).astype(np.int32) for _ in range(12)] + [np.full(longest, 7, np.int32)]
+        b = [x[: max(1, len(x) - i % 3)] ^ np.int32(1 << i) for i, x in enumerate(a)] + [x[len(x) // 2 :] for x in a]
+        want = {(i, j, o) for i, x in enumerate(a) for j, y in enumerate(b) for o in range(1 - len(y), len(x)) if (c := chroma.compared(x, y, o))[2] <= chroma.allowed(c[1])}
+        for short in (chroma.SHORT, 0, 1 << 20):
+            monkeypatch.setattr(chroma, "SHORT", short)
+            found = list(chroma.near(a, b))
+            assert len(found) == len(set(found)) and set(found) == want
+        monkeypatch.undo()
