@@ -59,9 +59,14 @@ def shared_path(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = "file://" + os.path.join(tempfile.gettempdir(), "lamella-scratch")
     at = f"{where.rstrip('/')}/kv-{uuid.uuid4().hex}"
+    gone_at_exit(spark, at)
+    return at
+
+
+def gone_at_exit(spark: SparkSession, at: str) -> None:
+    """Remove what is at a path when the driver's JVM ends; Hadoop does nothing if there is nothing yet."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return at
 
 
 def built(spark: SparkSession, sf_dir: str) -> Table:
@@ -343,14 +348,20 @@ def key_design_u64be(spark, sf_dir):
 
 
 def placed(df: DataFrame) -> DataFrame:
-    """Rows numbered by key: sorted in ranges, so no task gets them all."""
+    """Rows numbered by key, null keys last: sorted in ranges, so no task gets them all.
+
+    The sorted rows are written: a second run of the range exchange draws another sample and cuts the ranges elsewhere.
+    """
     from pyspark.sql import Window
 
-    at = F.monotonically_increasing_id()
-    d = df.repartitionByRange("key").sortWithinPartitions("key").withColumn("part", F.shiftright(at, 33)).withColumn("row", at.bitwiseAND((1 << 33) - 1))
-    sizes = d.groupBy("part").agg(F.count("*").alias("c"))
+    at, by = F.monotonically_increasing_id(), F.col("key").asc_nulls_last()
+    d = df.repartitionByRange(by).sortWithinPartitions(by).withColumn("part", F.shiftright(at, 33)).withColumn("row", at.bitwiseAND((1 << 33) - 1)).drop("key")
+    d.write.parquet(path := shared_path(df.sparkSession))
+    gone_at_exit(df.sparkSession, path)
+    d = df.sparkSession.read.schema(d.schema).parquet(path)
+    sizes = d.groupBy("part").agg(F.count("*").alias("c"))  # a row for each range
     before = sizes.select("part", (F.sum("c").over(Window.orderBy("part")) - F.col("c")).alias("before"))
-    return d.join(before, "part").select("n", (F.col("before") + F.col("row") + 1).alias("place"))
+    return d.join(F.broadcast(before), "part").select("n", (F.col("before") + F.col("row") + 1).alias("place"))
 
 
 # -- patterns

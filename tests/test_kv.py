@@ -16,6 +16,7 @@ from lamella.operators import resolve as R
 from lamella.operators.compaction import pick_tier, tier_or_all
 from lamella.operators.published import Published
 from lamella.operators.store import Options, Store
+from lamella.plans import catalogue as C
 from lamella.sources.table import Corrupt, Table, merge_tables, write_table
 from lamella.streaming.ingest import ingest
 
@@ -287,3 +288,22 @@ def test_merging_takes_one_exchange(spark, tmp_path):
     a, b = (write_table(spark, f"{tmp_path}/{x}", {"k": x}) for x in "ab")
     plan = R.resolve(R.stacked([a.raw, b.raw]).repartitionByRange("key"), True).sortWithinPartitions("key")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def placed_in_ranges(spark, path, query, numbers):
+    """What ``query`` makes of orders with ``numbers``, beside what its SQL says, nulls last; small ranges stay apart as large ones do."""
+    spark.createDataFrame([(n,) for n in numbers], "o_orderkey long").write.parquet(f"{path}/orders.parquet")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sorted(((r["place"], r["n"]) for r in query(spark, str(path)).collect()))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    return got, list(enumerate(sorted(numbers, key=lambda n: (n is None, n or 0)), 1))
+
+
+def test_padded_keys_are_placed_as_numbers(spark, tmp_path):
+    numbers = [i * 7919 % 20011 for i in range(20000)] + [5, 5, None, None]
+    got, want = placed_in_ranges(spark, tmp_path / "many", C.key_design_padded, numbers)
+    assert got == want
+    got, want = placed_in_ranges(spark, tmp_path / "none", C.key_design_padded, [])
+    assert got == want == []
