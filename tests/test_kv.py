@@ -307,3 +307,9 @@ def test_padded_keys_are_placed_as_numbers(spark, tmp_path):
     assert got == want
     got, want = placed_in_ranges(spark, tmp_path / "none", C.key_design_padded, [])
     assert got == want == []
+
+
+def test_big_endian_keys_are_placed_as_numbers(spark, tmp_path):
+    numbers = [i * 7919 % 20011 << (i % 48) for i in range(20000)] + [2**63 - 1]  # beyond the digits of padded keys
+    got, want = placed_in_ranges(spark, tmp_path, C.key_design_u64be, numbers)
+    assert got == want
